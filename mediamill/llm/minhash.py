@@ -15,7 +15,7 @@ from .common import LOWER, U, Forest, checkpointed, connected_components, id_fil
 #: At a similarity of 0.85 the chance that fewer than 15 of 32 agree is below 1e-7.
 COORDINATES, MATCHES = 32, 15
 #: Documents of a posting list that meet in one task; longer lists are cut into blocks, and blocks are paired.
-BLOCK = 128
+BLOCK = 256
 #: Rows of a star that meet its centre in one task.
 SALT_ROWS = 128
 
@@ -117,8 +117,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``coordinates - matches + 1`` rarest (prefix filter; tokens of one document only drop out
        first), so only these make posting lists.
     3. Each list's members meet its best-connected member first; links are confirmed on full sets.
-       Documents so joined need not meet again (skip): only lists that still hold several
-       components go on, cut into blocks of ``BLOCK``, block against block.
+       Documents so joined need not meet again (skip): in lists that still hold several
+       components, those outside the largest meet all others, cut into blocks of ``BLOCK``.
     4. Components over the confirmed links.
 
     Null or wordless texts have an empty set and stay alone; repeated ids share their smallest
@@ -149,13 +149,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(confirmed(members, ["hub", "salt"]))
     first = checkpointed(connected_components(links, "a", "b"))
 
-    rest = prefix.join(hubs, "token").where("m > 2").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lists = rest.where("rep <> hub").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("size")).where("lo < hi")
-    lists = lists.groupBy("mark", "size").agg(F.min("token").alias("token")).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    open_ = rest.where("rep <> hub").join(lists.select("token", "blocks"), "token").withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.col("blocks")))
-    met = open_.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        F.col("rep").alias("doc_id"), "component", "token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side")
+    rest = prefix.join(hubs, "token").where("m > 2 and rep <> hub").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    lists = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark")).where("size > main.n")
+    lists = lists.groupBy("mark", "size").agg(F.min(F.struct("token", "main")).alias("l")).select(
+        F.col("l.token").alias("token"), F.col("l.main.component").alias("main"), F.ceil(F.col("l.main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("size") - F.col("l.main.n")) / BLOCK).alias("other_blocks")
     )
+    open_ = rest.join(lists, "token").withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pairing = F.when(F.col("is_main"), F.transform(upto("other_blocks"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(
+        F.concat(
+            F.transform(upto("main_blocks"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+            F.transform(
+                upto("other_blocks"),
+                lambda k: F.struct(F.least("block", k).alias("i"), (F.col("main_blocks") + F.greatest("block", k)).alias("j"), F.when(F.col("block") == k, 2).when(F.col("block") < k, 0).otherwise(1).alias("side")),
+            ),
+        )
+    )
+    met = open_.select(F.col("rep").alias("doc_id"), "component", "token", F.explode(pairing).alias("p")).select("doc_id", "component", "token", "p.*")
     links = links.unionByName(confirmed(met, ["token", "i", "j"]))
     final = connected_components(links, "a", "b")
     classes = classes.select("d1", "d2", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
