@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 U = np.uint64
 #: Bytes of text that a task hashes at once; one longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

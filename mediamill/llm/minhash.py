@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        first), so only these make posting lists.
     3. Each list's members meet its best-connected member first; links are confirmed on full sets.
        Documents so joined need not meet again (skip): in lists that still hold several
-       components, those outside the largest meet all others, cut into blocks of ``BLOCK``.
+       groups, those outside the largest meet all others, cut into blocks of ``BLOCK``.
     4. Components over the confirmed links.
 
     Null or wordless texts have an empty set and stay alone; repeated ids share their smallest
@@ -147,7 +147,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salted = stars.join(stars.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).alias("parts")), "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
     members = salted.select(F.col("rep").alias("doc_id"), F.lit(1).alias("side"), F.col("rep").alias("component"), "hub", "salt").unionByName(salted.select(F.col("hub").alias("doc_id"), F.lit(0).alias("side"), F.col("hub").alias("component"), "hub", "salt").distinct())
     links = checkpointed(confirmed(members, ["hub", "salt"]))
-    first = checkpointed(connected_components(links, "a", "b"))
+    # a document's mark is its smallest linked centre, or that one's: equal marks are surely connected
+    mark = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+    first = mark.alias("m").join(mark.alias("n"), F.col("m.to") == F.col("n.node"), "left").select("m.node", F.coalesce("n.to", "m.to").alias("component"))
+    first = checkpointed(first)
 
     rest = prefix.join(hubs, "token").where("m > 2 and rep <> hub").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
     parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
@@ -167,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     met = open_.select(F.col("rep").alias("doc_id"), "component", "token", F.explode(pairing).alias("p")).select("doc_id", "component", "token", "p.*")
-    links = links.unionByName(confirmed(met, ["token", "i", "j"]))
+    links = links.unionByName(checkpointed(confirmed(met, ["token", "i", "j"])))
     final = connected_components(links, "a", "b")
     classes = classes.select("d1", "d2", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return sigs.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
