@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import put, slices, span_hashes, with_fields
+from .common import checkpointed, put, slices, span_hashes, with_fields
 
 #: Frequent words in the lexicon, at most.
 LEXICON = 1 << 15
@@ -347,7 +347,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def frequent_words(docs: DataFrame, text_col: str, path: str, limit: int) -> list[str]:
-    """The most frequent words over all texts, ties by the word; tasks sum their own counts first."""
+    """The most frequent words over all texts, by whole levels of frequency (sixteenths of a doubling), at most ``limit``; tasks sum their own counts first."""
     special = list(Vocabulary(path).special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +371,16 @@ def frequent_words(docs: DataFrame, text_col: str, path: str, limit: int) -> lis
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in rows.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = checkpointed(rows.withColumn("level", F.floor(F.log2("n") * 16).cast("int")))
+    levels = sorted(rows.groupBy("level").count().collect(), reverse=True)
+    total, least = 0, None
+    for level, n in levels:
+        total += n
+        if total > limit:
+            break
+        least = level
+    return [] if least is None else sorted(r.word for r in rows.where(F.col("level") >= least).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = None, limit: int = LEXICON) -> bytes:
