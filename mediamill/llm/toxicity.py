@@ -297,10 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows of several labels count by the largest; a null label, id or text doesn't count.
     """
     own = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    ids = None
-    for y in (0, 1):  # some texts are too long or missing, so a few more
-        part = own.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(documents + documents // 3)
-        ids = part if ids is None else ids.unionByName(part)
+    # by hash about a third more than needed of each label, as some texts are too long or missing
+    n = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, documents * 4 / 3 / max(1, n.get(1, 0))).otherwise(documents * 4 / 3 / max(1, n.get(0, 0)))
+    ids = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < share * (1 << 40))
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= longest))
     rows = texts.join(F.broadcast(ids), "i").collect()
     sample: list = []
