@@ -390,8 +390,13 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = No
     return compile_lexicon(list(zip(words, [x.tolist() for x in Vocabulary(path).merge_all(words)])))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, lexicon: bytes | None = None) -> DataFrame:
-    """``docs`` with n_tokens, ids (packed little-endian unsigned 32-bit integers) and decoded (their text).
+def _as_lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, lexicon: bytes | None = None, lists: bool = False) -> DataFrame:
+    """``docs`` with n_tokens, ids (packed little-endian unsigned 32-bit integers; lists: an array) and decoded (their text).
 
     Equals the tokenizers library on the same file without added special tokens; their strings in a
     text become their ids. Null counts as empty: no ids, empty decoded text. ``path`` must be a file
@@ -412,6 +417,6 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, lex
         for whole in batches:
             for batch in slices(whole, text_col):
                 ids = encoder.encode([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
-                yield put(batch, n_tokens=pa.array([len(a) // 4 for a in ids], pa.int64()), ids=pa.array(ids, pa.binary()), decoded=pa.array(encoder.decode(ids), pa.binary()).cast(pa.string()))
+                yield put(batch, n_tokens=pa.array([len(a) // 4 for a in ids], pa.int64()), ids=_as_lists(ids) if lists else pa.array(ids, pa.binary()), decoded=pa.array(encoder.decode(ids), pa.binary()).cast(pa.string()))
 
-    return docs.mapInArrow(run, with_fields(docs.schema, ("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.StringType())))
+    return docs.mapInArrow(run, with_fields(docs.schema, ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()) if lists else T.BinaryType()), ("decoded", T.StringType())))

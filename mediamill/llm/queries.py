@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, embeddings, htmltext, langid, licenses, minhash, toxicity, warc
+from . import bpe, decontam, embeddings, htmltext, langid, licenses, minhash, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path_col="source")
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"))), ",")
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"), F.array_max(F.transform("secrets", lambda s: s.score)).alias("top_score"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
