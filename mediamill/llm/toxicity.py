@@ -17,7 +17,7 @@ WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5, 6)
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
 #: Bound of the training sample: documents of each class, and bytes of the longest of them.
-DOCUMENTS, LONGEST = 3000, 20_000
+DOCUMENTS, LONGEST = 3000, 16_000
 EPOCHS, BATCH = 6, 256
 #: Step sizes; small ones for the vectors, whose first coordinates start at counted odds.
 RATE, VECTOR_RATE = 0.01, 0.0015
@@ -46,11 +46,37 @@ class Words:
         return np.where(inside, self.sequence[np.minimum(place, len(self.sequence) - 1)], len(self.word)), owner
 
 
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part or not texts:
+        yield part
+
+
 def words_of(texts: list[str]) -> Words:
-    codes, starts, ends, at = letter_words(texts)
-    hashes = span_hashes(codes, starts, ends)
-    names, index, sequence = np.unique(hashes, return_index=True, return_inverse=True)
-    starts, sizes = starts[index], ends[index] - starts[index]
+    """Words by hash; texts are read in chunks, of which only words not met before are kept spelled."""
+    hashes, sizes_of, spelled, seen = [], [], [], np.zeros(0, U)
+    for part in _chunks(texts):
+        codes, starts, ends, at = letter_words(part)
+        h = span_hashes(codes, starts, ends)
+        names, index = np.unique(h, return_index=True)
+        new = index[~np.isin(names, seen)] if len(seen) else index
+        seen = np.union1d(seen, names) if len(seen) else names
+        size = ends[new] - starts[new]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[new], size)
+        spelled.append((h[new], size, codes[inside]))
+        hashes.append(h)
+        sizes_of.append(np.diff(at))
+    names, sequence = np.unique(np.concatenate(hashes), return_inverse=True)
+    met, sizes, codes = (np.concatenate([s[i] for s in spelled]) for i in range(3))
+    order = np.argsort(met)
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    at = np.concatenate(([0], np.cumsum(np.concatenate(sizes_of))))
     # each distinct word between marks, one after the other
     total = np.cumsum(sizes + 2)
     line = np.zeros(int(total[-1]) if len(total) else 0, np.uint32)
@@ -62,7 +88,7 @@ def words_of(texts: list[str]) -> Words:
     buckets, owners = [], []
     h = np.zeros(len(line), U)
     left = np.repeat(total, sizes + 2) - np.arange(len(line))  # codes left in the word
-    owner = np.repeat(np.arange(len(names)), sizes + 2)
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes + 2)
     for n in range(1, max(GRAMS) + 1):
         m = len(line) - n + 1
         if m <= 0:
@@ -71,9 +97,9 @@ def words_of(texts: list[str]) -> Words:
         h ^= h >> U(29)
         if n in GRAMS:
             ok = left[:m] >= n
-            buckets.append(((h * U(0xC2B2AE3D27D4EB4F)) >> U(64 - GRAM_BITS))[ok].astype(np.int64))
+            buckets.append(((h * U(0xC2B2AE3D27D4EB4F)) >> U(64 - GRAM_BITS))[ok].astype(np.int32))
             owners.append(owner[:m][ok])
-    gram, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (buckets, owners))
+    gram, own = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (buckets, owners))
     order = np.argsort(own, kind="stable")
     return Words((names >> U(64 - WORD_BITS)).astype(np.int64), gram[order], np.searchsorted(own[order], np.arange(len(names) + 1)), sequence, at)
 
@@ -104,10 +130,11 @@ class Network:
         n = np.diff(words.gram_at)
         scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
         sums = np.zeros((len(n), WIDTH), np.float32)
-        if len(words.gram):
-            rows = self.weights["gram"][words.gram]
-            full = n > 0
-            sums[full] = np.add.reduceat(rows, words.gram_at[:-1][full], axis=0)
+        at, k = words.gram_at, 0
+        while k < len(n):  # about a quarter of a million n-grams at a time
+            to = max(k + 1, int(np.searchsorted(at, at[k] + (1 << 18), "right")) - 1)
+            sums[k:to] = np.add.reduceat(self.weights["gram"][words.gram[at[k] : at[to]]], at[k:to] - at[k], axis=0)
+            k = to
         return np.hstack([self.weights["word"][words.word], sums * scale[:, None]]), scale
 
     def forward(self, x: np.ndarray, windows: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
@@ -171,7 +198,7 @@ class Network:
         return out, by_x[:-1]
 
 
-def _odds(seen: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def _odds(seen: Iterator[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Log-odds of label 1 by bucket from the texts that hold it, shrunk where few do."""
     counts = np.ones((2, size)) * 0.5
     for s, y in zip(seen, labels):
@@ -204,11 +231,12 @@ class ToxicityModel:
         return np.where(np.isfinite(z), _sigmoid(self.slope * np.where(np.isfinite(z), z, 0) + self.shift), self.base)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> ToxicityModel:
     """Train on labelled texts: a fifth of them only fit the final scale.
 
     A text of label 1 teaches by the window that the first log-odds find likeliest, a text of label 0
-    by that window, later by the network's likeliest, and by a random one. Without both labels the score is the share of label 1.
+    by that window, later by the network's likeliest, and by a random one. ``share`` of label 1 among all labelled
+    rows, if given, weighs the texts of the final scale. Without both labels the score is the share of label 1.
     """
     labels = np.asarray(labels, np.int64)
     base = float(labels.mean()) if len(labels) else 0.0
@@ -224,9 +252,9 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     words = words_of([texts[i] for i in learn])
     y = labels[learn]
     per_text = [np.unique(words.sequence[a:b]) for a, b in zip(words.at[:-1], words.at[1:])]
-    word_odds = _odds([np.unique(words.word[s]) for s in per_text], y, 1 << WORD_BITS)
-    gram_sets = [np.unique(words.gram[np.concatenate([np.arange(words.gram_at[i], words.gram_at[i + 1]) for i in s])]) if len(s) else np.zeros(0, np.int64) for s in per_text]
-    gram_odds = _odds(gram_sets, y, 1 << GRAM_BITS)
+    word_odds = _odds((np.unique(words.word[s]) for s in per_text), y, 1 << WORD_BITS)
+    grams_of = lambda s: np.unique(words.gram[np.concatenate([np.arange(words.gram_at[i], words.gram_at[i + 1]) for i in s])]) if len(s) else words.gram[:0]
+    gram_odds = _odds(map(grams_of, per_text), y, 1 << GRAM_BITS)
     net = Network.fresh(word_odds * 0.3, gram_odds * 0.3)
     windows, owner = words.windows()
     x, _ = net.inputs(words)
@@ -278,12 +306,14 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     ok = np.isfinite(z)
     z, y = z[ok], labels[check][ok]
     n1, n0 = y.sum(), (1 - y).sum()
+    share = n1 / max(1, len(y)) if share is None else share
+    each = np.where(y == 1, share / max(1, n1), (1 - share) / max(1, n0)) * len(y)
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(100):  # Newton steps of a logistic fit towards smoothed goals
         p = _sigmoid(a * z + b)
-        d = p * (1 - p) + 1e-9
-        g = np.array([((p - goal) * z).sum() + 1e-3 * a, (p - goal).sum()])
+        d = (p * (1 - p) + 1e-9) * each
+        g = np.array([((p - goal) * each * z).sum() + 1e-3 * a, ((p - goal) * each).sum()])
         hess = np.array([[(d * z * z).sum() + 1e-3, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
         da, db = np.linalg.solve(hess, g)
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -2, 2)
@@ -306,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample: list = []
     for y in (0, 1):
         sample += sorted((r for r in rows if r.y == y), key=lambda r: (hash_order(r.i), r.i, r.t))[:documents]
-    return fit([r.t for r in sample], np.array([r.y for r in sample], np.int64))
+    return fit([r.t for r in sample], np.array([r.y for r in sample], np.int64), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
 
 
 def hash_order(i: int) -> int:
