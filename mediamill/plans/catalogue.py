@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""All registered queries of the library itself."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import registry, relational, series, signals, text, workflow  # noqa: F401  registers
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
