@@ -13,7 +13,7 @@ def clock_ms(text: Column) -> Column:
 def clock_text(ms: Column) -> Column:
     """``m:ss`` of milliseconds, floored, not below 0; empty for null."""
     s = F.greatest(F.floor(ms / 1000), F.lit(0))
-    return F.coalesce(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")), F.lit(""))
+    return F.when(ms.isNull(), "").otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")))
 
 
 def stamp_ms(text: Column) -> Column:
