@@ -137,11 +137,16 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
 
 def maybe_in(df: DataFrame, column: str, bitmap: DataFrame, bits: int = 1 << 24, negate: bool = False) -> DataFrame:
     """Rows whose id may be among those of the bitmap (negate: surely isn't), without a shuffle of ``df``: the broadcast has ``bits``/64 rows at most."""
-    place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(bits))
     names = df.columns
-    w, b = "_word", "_bits"
-    joined = df.withColumns({"_place": place}).withColumn("_pw", F.expr("_place div 64")).join(F.broadcast(bitmap), F.col("_pw") == F.col(w), "left")
-    hit = F.coalesce(F.col(b), F.lit(0)).bitwiseAND(F.expr("shiftleft(1L, cast(_place % 64 as int))")) != 0
+    mark = "_bit"
+    while any(n.lower().startswith(mark) for n in names):  # columns of any name may come along
+        mark = f"_{mark}"
+    place = F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(bits))
+    flags = bitmap.select(F.col("_word").alias(f"{mark}_word"), F.col("_bits").alias(f"{mark}_bits"))
+    placed = df.withColumn(f"{mark}_place", place).withColumn(f"{mark}_key", F.expr(f"{mark}_place div 64"))
+    joined = placed.join(F.broadcast(flags), F.col(f"{mark}_key") == F.col(f"{mark}_word"), "left")
+    hit = F.coalesce(f"{mark}_bits", F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1L, cast({mark}_place % 64 as int))")) != 0
+    hit = F.coalesce(hit, F.lit(False))
     return joined.where(~hit if negate else hit).select(*[F.col(f"`{n}`") for n in names])
 
 

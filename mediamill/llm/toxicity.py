@@ -18,9 +18,12 @@ WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5, 6)
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
 #: Bound of the training sample: documents of each class, and bytes of the longest of them.
 DOCUMENTS, LONGEST = 3000, 16_000
-EPOCHS, BATCH = 6, 256
+#: Rounds over the chosen windows at least and at most (small samples: until SEEN windows), and windows a step at least and at most.
+EPOCHS, SEEN, BATCH = (6, 40), 40_000, (32, 256)
 #: Step sizes; small ones for the vectors, whose first coordinates start at counted odds.
 RATE, VECTOR_RATE = 0.01, 0.0015
+#: Of the final scale's slope.
+RIDGE = 0.1
 CHUNK = 1 << 20
 
 
@@ -270,7 +273,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
     none = y[owner[first]] == 0
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step = 0
-    rounds = max(EPOCHS, min(20, 100 * BATCH // (2 * len(first))))
+    size = min(BATCH[1], max(BATCH[0], len(first) // 8))
+    rounds = max(EPOCHS[0], min(EPOCHS[1], SEEN // (2 * len(first))))
     for turn_no in range(rounds):
         if turn_no == (rounds + 1) // 2:  # from here on the network itself names the likeliest window of a text of label 0
             x, _ = net.inputs(words)
@@ -280,8 +284,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
         target = y[owner[chosen]].astype(np.float32)
         weight = np.where(target == 1, len(target) / (2 * max(1, target.sum())), len(target) / (2 * max(1, (1 - target).sum()))).astype(np.float32)
         turn = r.permutation(len(chosen))
-        for k in range(0, len(turn), BATCH):
-            pick = turn[k : k + BATCH]
+        for k in range(0, len(turn), size):
+            pick = turn[k : k + size]
             used, local = np.unique(windows[chosen[pick]], return_inverse=True)
             local = local.reshape(len(pick), WINDOW)
             used = used[used < len(words.word)]
@@ -308,13 +312,12 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
     n1, n0 = y.sum(), (1 - y).sum()
     share = n1 / max(1, len(y)) if share is None else share
     each = np.where(y == 1, share / max(1, n1), (1 - share) / max(1, n0)) * len(y)
-    goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
-    for _ in range(100):  # Newton steps of a logistic fit towards smoothed goals
+    for _ in range(100):  # Newton steps of a logistic fit with a ridge on the slope: the nearest texts of both labels place it
         p = _sigmoid(a * z + b)
         d = (p * (1 - p) + 1e-9) * each
-        g = np.array([((p - goal) * each * z).sum() + 1e-3 * a, ((p - goal) * each).sum()])
-        hess = np.array([[(d * z * z).sum() + 1e-3, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
+        g = np.array([((p - y) * each * z).sum() + RIDGE * a, ((p - y) * each).sum()])
+        hess = np.array([[(d * z * z).sum() + RIDGE, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
         da, db = np.linalg.solve(hess, g)
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -2, 2)
     model.slope, model.shift = float(a), float(b)
