@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Forest, checkpointed, connected_components
 
 COSINE = 0.93
-#: Vectors that a cell should hold, centres at most, and vectors from which they are fitted, for each label.
-CELL, CENTRES, SAMPLE, ROUNDS = 256, 256, 8192, 8
+#: Vectors that a cell should hold at least; cells grow so that all labels together have about TOTAL centres at most.
+CELL, TOTAL = 256, 1 << 16
+#: Centres of a label at most, vectors from which they are fitted (at least so many, and EACH for a centre), rounds.
+CENTRES, SAMPLE, EACH, ROUNDS = 4096, 8192, 16, 8
 #: Vectors of a cell that meet as one block.
 BLOCK = 256
 
@@ -61,7 +63,9 @@ def _assign(shared, cosine: float):
         for batch in batches:
             pdf = batch.to_pandas()
             for (label, dim), part in pdf.groupby(["label", "dim"]):
-                centres = shared.value[label, dim]
+                centres = shared.value.get((label, dim))
+                if centres is None:  # few vectors are one cell
+                    centres = np.eye(1, dim)
                 gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
                 x = _unit(part)
                 near = x @ centres.T
@@ -97,7 +101,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: id, n_links (other vectors at this cosine or more under the same label), component_id (smallest id reachable), kept.
 
     Equal vectors form one class, which goes on as one. Spherical k-means, fitted for each label on
-    at most about ``sample`` classes taken by hash, gives cells. A vector is at home in the cell of
+    at most about ``sample`` classes taken by hash (more for many centres), gives cells; a label of few
+    vectors is one cell. At most about TOTAL centres are broadcast. A vector is at home in the cell of
     its nearest centre and a guest wherever a partner may be at home, so no link is lost. Home
     vectors meet the cell's vectors block by block; a block gives counts and a spanning forest,
     never all pairs.
@@ -112,15 +117,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where(usable).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     classes = checkpointed(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies")).mapInArrow(_pack, "label long, dim long, rep long, n_copies long, vector binary"))
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < F.lit(sample) / F.col("n") * (1 << 40)
-    centres = _centres(classes.join(F.broadcast(sizes), ["label", "dim"]).where(share | (F.col("n") <= sample)).select("label", "dim", "n", F.col("rep").alias("vec_id"), "vector"), cell)
-    missing = [(r.label, r.dim) for r in sizes.collect() if (r.label, r.dim) not in centres]
-    centres |= {k: np.eye(1, k[1]) for k in missing}
+    cell = max(cell, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / TOTAL))
+    wanted = F.greatest(F.lit(sample), EACH * F.least(F.ceil(F.col("n") / cell), F.lit(CENTRES)))
+    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < wanted / F.col("n") * (1 << 40)
+    sampled = classes.join(sizes.where(F.col("n") > cell), ["label", "dim"]).where(share | (F.col("n") <= wanted))
+    centres = _centres(sampled.select("label", "dim", "n", F.col("rep").alias("vec_id"), "vector"), cell)
     shared = spark.sparkContext.broadcast(centres)
     placed = checkpointed(classes.mapInArrow(_assign(shared, cosine), "rep long, label long, dim long, n_copies long, vector binary, cell long, home boolean"))
     # of each cell the numbers of blocks, at home and in all
     blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).alias("own"), F.ceil(F.count("*") / BLOCK).alias("all")).where("own > 0")
-    in_cell = placed.join(F.broadcast(blocks), ["label", "dim", "cell"])
+    in_cell = placed.join(blocks, ["label", "dim", "cell"])
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     keys = ["label", "dim", "cell", "i", "j"]
