@@ -87,11 +87,3 @@ def limit(x: np.ndarray, state: float, rate: float, ceiling: float = 0.89, relea
         state = wanted if wanted < state else state + (wanted - state) * step
         out[k] = v * state
     return out, state
-
-
-def fill_level(arrivals: list[tuple[float, int]], now: float, rate: float, target_ms: float) -> tuple[float, float, int]:
-    """One step of a delay buffer: ms waiting, the new target, underruns. ``arrivals``: (seconds, samples)."""
-    waiting = 1000 * (sum(n for at, n in arrivals if at <= now) / rate - now)
-    if waiting < 0:
-        return 0.0, min(60.0, target_ms + 10), 1
-    return min(200.0, waiting), max(20.0, target_ms - 0.2), 0

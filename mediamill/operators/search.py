@@ -91,9 +91,8 @@ def likeness(a: str, b: str) -> int:
     if len(x) <= 2:
         return 0
     if x.isascii() and len(x) <= 4:
-        tokens = names.fold_text(a).split() + names.fold_text(b).split()
         longer = b if names.key_text(b) == y else a
-        return int(x in names.fold_text(longer).split() and x in tokens)
+        return int(x in names.fold_text(longer).split())
     return int(x in y or one_edit(x, y))
 
 
