@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import playqueue
-from ..streaming import rooms
+from ..streaming import delays, rooms
 from .registry import Tables, query
 
 
@@ -21,3 +21,9 @@ def q_queue_fold(t: Tables) -> DataFrame:
 def q_room_sessions(t: Tables) -> DataFrame:
     joins = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), "event_id", (F.col("event_type") != "error").alias("good_code"))
     return rooms.admissions(joins)
+
+
+@query()
+def q_jitter(t: Tables) -> DataFrame:
+    frames = t.events.select(F.col("user_id").cast("string").alias("phone"), F.col("event_id").alias("seq"), (F.unix_millis(F.col("ts").cast("timestamp")) % 86400000 / 1000.0).alias("arrive_ms"), F.col("value").alias("length_ms"))
+    return delays.delays(frames)
