@@ -23,7 +23,7 @@ from .common import checkpointed, put, slices, span_hashes, with_fields
 #: Frequent words in the lexicon, at most.
 LEXICON = 1 << 15
 #: Words that a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Longer words are merged with a heap, one at a time.
 LONG = 48
 

@@ -13,7 +13,7 @@ from .common import U, put, slices, span_hashes, texts_of, with_fields
 
 WINDOW = 10
 #: Bytes of training text under one index, and of benchmark text broadcast at once; a larger benchmark is searched block by block.
-SHARD_BYTES, BENCHMARK_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES, BENCHMARK_BYTES = 1 << 20, 32 << 20
 #: Every so many text positions the index keeps a suffix position.
 SAMPLE = 8
 
