@@ -61,8 +61,10 @@ def link_verdict(url: Column, extractable: list[str], streaming: list[str]) -> C
 def spread_words(text: Column, start: Column, end: Column) -> Column:
     """Words with even slots of 1 to 600 ms from the start: (text, start_ms, end_ms)."""
     parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    slot = F.greatest(F.least(F.floor((end - start) / F.greatest(F.size(parts), F.lit(1))), F.lit(600)), F.lit(1)).cast("long")
-    return F.transform(parts, lambda w, i: F.struct(w.alias("text"), (start + i * slot).alias("start_ms"), (start + (i + 1) * slot).alias("end_ms")))
+    length = lambda p: F.greatest(F.least(F.floor((end - start) / F.greatest(F.size(p), F.lit(1))), F.lit(600)), F.lit(1)).cast("long")
+    slots = lambda p, n: F.transform(p, lambda w, i: F.struct(w.alias("text"), (start + i * n).alias("start_ms"), (start + (i + 1) * n).alias("end_ms")))
+    # a lambda's own variables are computed once; an outer expression in it, once for each word
+    return F.transform(F.array(parts), lambda p: F.transform(F.array(length(p)), lambda n: slots(p, n))[0])[0]
 
 
 def interleave(left: Column, right: Column) -> Column:
