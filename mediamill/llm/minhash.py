@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER, U, Forest, checkpointed, connected_components, id_filter, maybe_in, mix64, shingle_sets, slices, texts_of, without_ids
 
-#: Signature coordinates, and how many two documents must share to be compared on their full sets.
-#: At a similarity of 0.85 the chance that fewer than 15 of 32 agree is below 1e-7.
-COORDINATES, MATCHES = 32, 15
+#: Signature coordinates, and the chance with which a pair at the least similarity may share too few of them to be compared on its full sets.
+COORDINATES, MISSED = 32, 1e-7
 #: Documents of a posting list that meet in one task; longer lists are cut into blocks, and blocks are paired.
 BLOCK = 256
 #: Rows of a star that meet its centre in one task.
 SALT_ROWS = 128
 
 
+def fitting_matches(percent: int, coordinates: int = COORDINATES) -> int:
+    """The most coordinates (1 at least) that a pair of ``percent``/100 shares but for a chance below ``MISSED``: of 32, 15 at 85 and 12 at 80."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < coordinates and (below := below + math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)) < MISSED:
+        m += 1
+    return max(1, m)
+
+
 def _seeds(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -105,7 +113,7 @@ def _link(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents link when the Jaccard similarity of their sets of distinct ``width``-word shingles
@@ -113,7 +121,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Each task hashes whole texts to shingle sets and MinHash tokens (coordinate, value); equal
        sets form one class, and only class representatives go on.
-    2. Tokens are posted. Sharing ``matches`` of the tokens implies sharing one among a document's
+    2. Tokens are posted. Sharing ``matches`` of the tokens (by default what fits ``percent``) implies sharing one among a document's
        ``coordinates - matches + 1`` rarest (prefix filter; tokens of one document only drop out
        first), so only these make posting lists.
     3. Each list's members meet its best-connected member first; links are confirmed on full sets.
@@ -124,6 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or wordless texts have an empty set and stay alone; repeated ids share their smallest
     component by id; an empty table gives an empty result.
     """
+    matches = fitting_matches(percent, coordinates) if matches is None else matches
     sigs = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_signatures("doc_id", "text", width, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     posts = classes.select("rep", F.explode("tokens").alias("token"))

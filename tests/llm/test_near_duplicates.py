@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
+import corpus_pipeline
 from mediamill.llm import common, embeddings, minhash
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -83,6 +84,24 @@ def test_large_group_of_near_copies_meets_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == roots
 
 
+def test_pipeline_stage_links_from_0_80(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(30):
+        base = [f"w{k}x{i}" for i in range(150)]
+        own = list(base)
+        for at in r.sample(range(10, 140), r.choice([2, 3, 5])):
+            own[at] = f"z{k}x{at}"
+        texts += [" ".join(base), " ".join(own)]
+    sets = {i: plain_sets(t) for i, t in enumerate(texts)}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 5 and any(0 < x < 0.8 for x in alike.values())
+    roots = plain_components(sets, [pair for pair, x in alike.items() if x >= 0.8])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {i for i in sets if roots[i] == i}
+    assert (minhash.fitting_matches(85), minhash.fitting_matches(80)) == (15, 12)
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
