@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
 from ..functions.columns import within_one_edit
@@ -96,30 +96,91 @@ def likeness(a: str, b: str) -> int:
     return int(x in y or one_edit(x, y))
 
 
+#: Characters of a key's beginning by which longer keys that contain it are found.
+GRAM = 8
+
+
+def _left_out(key: Column) -> Column:
+    """The key and its forms with one letter left out, marked: keys within one edit share one."""
+    forms = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))
+    return F.transform(F.array_union(F.array(key), forms), lambda f: F.concat(F.lit("-"), f))
+
+
+def _inside(key: Column) -> Column:
+    """What a key that is found inside this one may begin with, marked."""
+    starts = F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.concat(F.lit("+"), F.substring(key, i, n))))
+    return F.array_distinct(F.flatten(starts))
+
+
+def _begin(key: Column) -> Column:
+    return F.array(F.concat(F.lit("+"), F.substring(key, 1, GRAM)))
+
+
+def _like_titles(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """Of distinct titles (key, words) and (hit_key, hit_words) the pairs with a word in common of which one is in the other or within one edit; same: equal keys."""
+    k, h = F.col("key"), F.col("hit_key")
+    own = wanted.select("key", "words").distinct().withColumn("post", F.explode(F.array_union(_begin(k), _left_out(k))))
+    other = hits.select("hit_key", "hit_words").distinct().withColumn("post", F.explode(F.array_union(_inside(h), _left_out(h))))
+    like = (k == h) | h.contains(k) | within_one_edit(k, h)
+    pairs = own.join(other, "post").where(like & F.arrays_overlap("words", "hit_words"))
+    return pairs.select("key", "words", "hit_key", "hit_words", (k == h).alias("same")).distinct()
+
+
+def _like_singers(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """Of distinct singers (artist) and (hit_artist) the pairs of a likeness above 0 (known)."""
+
+    @F.pandas_udf("array<string>")
+    def keys(artist: pd.Series) -> pd.Series:
+        return artist.map(lambda a: sorted({names.key_text(n) for n in names.artist_names(a)}))
+
+    @F.pandas_udf("int")
+    def known(artist: pd.Series, singer: pd.Series) -> pd.Series:
+        return pd.Series([max((likeness(p, q) for p in names.artist_names(a) for q in names.artist_names(b)), default=0) for a, b in zip(artist, singer)], dtype="int32")
+
+    posted = lambda df, c: df.select(c).where(f"{c} <> ''").distinct().withColumn("k", F.explode(keys(c))).where("k <> ''")
+    key = F.col("k")
+    a, b = posted(wanted, "artist"), posted(hits, "hit_artist")
+    up = a.select("artist", F.explode(F.array_union(_begin(key), _left_out(key))).alias("post")).join(b.select("hit_artist", F.explode(F.array_union(_inside(key), _left_out(key))).alias("post")), "post")
+    down = a.select("artist", F.explode(_inside(key)).alias("post")).join(b.select("hit_artist", F.explode(_begin(key)).alias("post")), "post")
+    met = up.unionByName(down).select("artist", "hit_artist").distinct()
+    return met.withColumn("known", known("artist", "hit_artist")).where("known > 0")
+
+
 def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     """For each wanted song (id, title, artist, length) the best hit (hit_title, hit_artist, hit_length, timed_lines, ord).
 
-    Songs and hits meet under the words of their folded titles. A like singer allows 60 s between
+    Songs and hits need a word of their folded titles in common. A like singer allows 60 s between
     the lengths, an unlike one 3 s, none known 10 s, and then titles must be equal. Points: title 2
     or 1, singer 0 to 2, closeness of length up to 1; ties by more timed lines, then the first hit.
+
+    Only distinct values meet: titles and singers by beginnings and left-out letters of their keys,
+    lengths in spans of time. Of hits that score alike for a song the best goes on, so rows of
+    one title count no more than its distinct lengths. An unlike singer scores least whoever it is, so
+    for equal titles singers need not meet: a hit whose singer is like scores more by the other way.
     """
-    token = lambda c: F.explode(F.array_distinct(F.filter(F.split(names.fold(F.col(c)), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != ""))).alias("token")
-    w = wanted.select("*", token("title"))
-    h = hits.select("*", token("hit_title"))
-    pairs = w.join(h, "token").where(F.abs(F.col("length") - F.col("hit_length")) <= 60).drop("token").distinct()
-
-    @F.pandas_udf("double")
-    def points(title: pd.Series, artist: pd.Series, length: pd.Series, hit: pd.Series, singer: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for t, a, n, ht, ha, hn in zip(title, artist, length, hit, singer, own):
-            off = abs(n - hn)
-            known = max((likeness(p, q) for p in names.artist_names(a) for q in names.artist_names(ha)), default=0) if a and ha else 0
-            same = names.key_text(t) == names.key_text(ht)
-            like = same or names.key_text(t) in names.key_text(ht) or one_edit(names.key_text(t), names.key_text(ht))
-            fits = (like and off <= 60) if known else (same and off <= (3 if a else 10))
-            out.append((2 if same else 1) + known + 1 - round(off) / 60 if fits else None)
-        return pd.Series(out, dtype="float64")
-
-    scored = pairs.withColumn("points", points("title", "artist", "length", "hit_title", "hit_artist", "hit_length")).where("points is not null and not isnan(points)")
-    best = F.max_by(F.struct("hit_title", "hit_artist", "ord"), F.struct("points", "timed_lines", (-F.col("ord")).alias("o")))
-    return scored.groupBy("id").agg(best.alias("hit"), F.round(F.max("points"), 6).alias("points")).select("id", "hit.hit_title", "hit.hit_artist", "hit.ord", "points")
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(names.fold(F.col(c)), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")))
+    song = ["key", "words", "artist", "length"]
+    w = wanted.select("id", names.key("title").alias("key"), words("title").alias("words"), F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("size(words) > 0 and length is not null and not isnan(length)")
+    h = hits.select(names.key("hit_title").alias("hit_key"), words("hit_title").alias("hit_words"), "hit_artist", F.col("hit_length").cast("double").alias("hit_length"), F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.struct("hit_title", "hit_artist", "ord").alias("hit"))
+    h = h.where("size(hit_words) > 0 and hit_length is not null and not isnan(hit_length)")
+    best = lambda df, *by: df.groupBy(*by).agg(F.max_by("hit", "rank").alias("hit"), F.max("rank").alias("rank"))
+    h = best(h, "hit_key", "hit_words", "hit_artist", "hit_length")
+    songs = w.select(*song).distinct()
+    titles = _like_titles(w, h)
+
+    def near(of: list[str], offers: DataFrame, most: int) -> DataFrame:
+        """Songs with the offers of the columns ``of`` whose lengths are at most ``allowed`` apart, itself at most ``most``."""
+        spans = songs.withColumn("span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("length") / most) + d)))
+        off = F.abs(F.col("length") - F.col("hit_length"))
+        met = spans.join(offers.withColumn("span", F.floor(F.col("hit_length") / most)), [*of, "span"]).withColumn("off", off)
+        allowed = F.lit(60) if most == 60 else F.when(F.col("artist") == "", 10).otherwise(3)
+        return met.where(F.col("off") <= allowed).select(*song, (F.col("base") + 1 - F.bround("off") / 60).alias("points"), "rank", "hit")
+
+    title = F.when(F.col("same"), 2).otherwise(1)
+    known = songs.select("key", "words", "artist").distinct().join(_like_singers(songs, h), "artist").join(titles, ["key", "words"]).join(h, ["hit_key", "hit_words", "hit_artist"])
+    known = best(known.withColumn("base", title + F.col("known")), "key", "words", "artist", "base", "hit_length")
+    unknown = best(titles.where("same").join(h, ["hit_key", "hit_words"]).withColumn("base", F.lit(2)), "key", "words", "base", "hit_length")
+    scored = near(["key", "words", "artist"], known, 60).unionByName(near(["key", "words"], unknown, 10))
+    found = scored.groupBy(*song).agg(F.max_by("hit", F.struct("points", "rank")).alias("hit"), F.max(F.struct("points", "rank")).alias("top"))
+    rows = w.join(found, song)
+    return rows.groupBy("id").agg(F.max_by("hit", "top").alias("hit"), F.round(F.max("top.points"), 6).alias("points")).select("id", "hit.hit_title", "hit.hit_artist", "hit.ord", "points")
