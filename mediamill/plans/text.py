@@ -125,7 +125,7 @@ def q_chunk_paths(t: Tables) -> DataFrame:
 
 @query()
 def q_fold_names(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.substring(names.fold(F.substring("text", 1, 80)), 1, 60).alias("folded"))
+    return t.documents.select("doc_id", names.fold("text").alias("folded"))
 
 
 @query()
@@ -151,5 +151,5 @@ def q_best_match(t: Tables) -> DataFrame:
 def q_lrc_lines(t: Tables) -> DataFrame:
     from ..operators import lyrics
 
-    stamped = F.concat(F.lit("[ar:x]\n[00:01.50][00:20.123]"), F.regexp_replace(F.substring("text", 1, 200), "\n", "\n[00:10.00]"))
+    stamped = F.concat(F.lit("[ar:x]\n[00:01.50][00:20.123]"), F.regexp_replace("text", "\n", "\n[00:10.00]"))
     return lyrics.parse_lrc(t.documents.select(F.col("doc_id").alias("track_id"), stamped.alias("text"), F.lit(40000).cast("long").alias("duration_ms")))
