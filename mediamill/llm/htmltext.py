@@ -16,7 +16,7 @@ from .common import put, slices, with_fields
 
 #: HTML's elements by how they take part in text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script style noscript template iframe object svg math head title".split()
+UNSEEN = "script style noscript template iframe object svg math title".split()
 BREAKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
@@ -30,7 +30,8 @@ SCOPES = {"ul", "ol", "table", "div", "article", "section", "aside", "nav", "mai
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(n for n in UNSEEN if n != "head") + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:\s++|/(?!>)|[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+/>"
+    r"|<(?P<raw>" + "|".join(UNSEEN) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S | re.I,
@@ -48,11 +49,14 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's runs of text between block boundaries, references decoded, white space as single blanks; none empty."""
+    """The page's runs of text between block boundaries, references decoded, white space as single blanks; none empty.
+
+    A head has no text of its own: other text than that of unseen elements ends it, as in browsers, with or without its end tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
-    state = {"linked": 0, "head": False}
+    state = {"linked": 0}
 
     def flush() -> None:
         if parts:
@@ -64,7 +68,7 @@ def leaf_blocks(page: str) -> list[Block]:
         state["linked"] = 0
 
     def add(raw: str) -> None:
-        if raw and not state["head"]:
+        if raw:
             parts.append(html.unescape(raw) if "&" in raw else raw)
             if any(t == "a" for t, _ in stack[-4:]):
                 state["linked"] += len(raw)
@@ -78,10 +82,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name == "head":
-            state["head"] = not (m["end"] or m["end2"])
             continue
-        if name == "body":
-            state["head"] = False
         if name in BREAKS:
             flush()
         elif name == "br":

@@ -168,3 +168,16 @@ def test_revisits_equal_brute_force(spark):
     got = {x.record_id: (x.refers_to, x.verdict, x.headers) for x in warc.resolve_revisits(df).collect()}
     assert got == plain_revisits(records)
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_custom_elements_self_closing_and_open_heads():
+    texts = lambda page: [b.text for b in htmltext.leaf_blocks(page)]
+    for name in ("svg-icon", "title-bar", "template-x", "math-field", "object-view", "iframe-box", "script-x", "style-guide"):
+        assert texts(f'<article><{name} name="x"></{name}><p>Body text.</p></article>') == ["Body text."], name
+    for one in ('<svg class="a" />', "<svg/>", "<math a='>' b=\"/\"/>", "<SVG hidden/>", "<svg a=b />"):
+        assert texts(f"<p>One {one} two.</p><p>Three.</p>") == ["One two.", "Three."], one
+    assert texts("<p>One <svg a=b/>unseen</svg> two.</p>") == ["One two."]
+    assert texts("<p>a</p><svg>x</svg ><title>t</title\n><script>if (a<b) '</p>'</script foo><p>b</p>") == ["a", "b"]
+    assert texts("<html><head><title>T</title><meta charset=utf-8><p>Body text.</p><p>More.</p>") == ["Body text.", "More."]
+    assert texts("<head><title>T</title><style>p{}</style>Plain text <b>goes on</b>.") == ["Plain text goes on."]
+    assert texts("<head><title>T</title></head><body><p>Text.</p></body>") == ["Text."]
