@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import U, put, slices, span_hashes, with_fields
 from .letters import letter_words
 
-#: Words of a window, and how far the next one begins; all windows of a text are scored.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and how far the next one begins: each passage of half a window lies whole in one; all windows of a text are scored.
+WINDOW, STRIDE = 48, 24
 WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5, 6)
 WIDTH, HIDDEN, ATTENTION = 6, 8, 8
 #: Bound of the training sample: documents of each class, and bytes of the longest of them.
-DOCUMENTS, LONGEST = 3000, 16_000
+DOCUMENTS, LONGEST = 2500, 16_000
 #: Rounds over the chosen windows at least and at most (small samples: until SEEN windows), and windows a step at least and at most.
-EPOCHS, SEEN, BATCH = (6, 40), 40_000, (32, 256)
+EPOCHS, SEEN, BATCH = (6, 40), 80_000, (32, 256)
 #: Step sizes; small ones for the vectors, whose first coordinates start at counted odds.
 RATE, VECTOR_RATE = 0.01, 0.0015
-#: Of the final scale's slope.
-RIDGE = 0.1
-CHUNK = 1 << 20
+#: Signs of a text from its windows' logits: the largest, the mean of the TOP largest, the (logarithmic) sum and the mean of their probabilities.
+SIGNS = 4
+#: Of the final scale's slopes; windows of a text whose mean counts beside the likeliest.
+RIDGE, TOP = 0.1, 4
+#: Windows by which a text of label 1 teaches, and places of a word or n-gram in one text that count for its odds, and texts that must hold it.
+TAUGHT, OFTEN, RARE = 2, 3, 6
+#: Characters of text read at once, and distinct words whose n-grams are found at once.
+CHUNK, BLOCK = 1 << 19, 1 << 14
 
 
 @dataclass
@@ -37,6 +42,12 @@ class Words:
     sequence: np.ndarray  # distinct word of each word in turn
     at: np.ndarray  # where each text's words begin
 
+    def grams_of(self, words: np.ndarray) -> np.ndarray:
+        """The n-grams of these words, one word after the other."""
+        begin = self.gram_at[words]
+        sizes = self.gram_at[words + 1] - begin
+        return self.gram[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)]
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words of each window (one row; a short text is filled up with the count of words), and the text of each window."""
         sizes = np.diff(self.at)
@@ -44,9 +55,9 @@ class Words:
         owner = np.repeat(np.arange(len(sizes)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         first = np.minimum(k * STRIDE, np.maximum(0, sizes[owner] - WINDOW))
-        place = (self.at[owner] + first)[:, None] + np.arange(WINDOW)
+        place = (self.at[owner] + first).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
         inside = place < self.at[owner + 1][:, None]
-        return np.where(inside, self.sequence[np.minimum(place, len(self.sequence) - 1)], len(self.word)), owner
+        return np.where(inside, self.sequence[np.minimum(place, len(self.sequence) - 1)], np.int32(len(self.word))), owner
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -75,12 +86,19 @@ def words_of(texts: list[str]) -> Words:
         spelled.append((h[new], size, codes[inside]))
         hashes.append(h)
         sizes_of.append(np.diff(at))
-    names, sequence = np.unique(np.concatenate(hashes), return_inverse=True)
+    names = np.unique(np.concatenate([np.unique(h) for h in hashes]))
+    sequence = np.concatenate([np.searchsorted(names, h).astype(np.int32) for h in hashes])
+    del hashes
     met, sizes, codes = (np.concatenate([s[i] for s in spelled]) for i in range(3))
     order = np.argsort(met)
     starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
     at = np.concatenate(([0], np.cumsum(np.concatenate(sizes_of))))
-    # each distinct word between marks, one after the other
+    grams, counts = zip(*(_grams(codes, starts[k : k + BLOCK], sizes[k : k + BLOCK]) for k in range(0, max(1, len(names)), BLOCK)))
+    return Words((names >> U(64 - WORD_BITS)).astype(np.int32), np.concatenate(grams), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), sequence, at)
+
+
+def _grams(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words, each word between marks, one word after the other, and their number in each."""
     total = np.cumsum(sizes + 2)
     line = np.zeros(int(total[-1]) if len(total) else 0, np.uint32)
     begin = total - sizes - 2
@@ -91,7 +109,7 @@ def words_of(texts: list[str]) -> Words:
     buckets, owners = [], []
     h = np.zeros(len(line), U)
     left = np.repeat(total, sizes + 2) - np.arange(len(line))  # codes left in the word
-    owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes + 2)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
     for n in range(1, max(GRAMS) + 1):
         m = len(line) - n + 1
         if m <= 0:
@@ -103,8 +121,7 @@ def words_of(texts: list[str]) -> Words:
             buckets.append(((h * U(0xC2B2AE3D27D4EB4F)) >> U(64 - GRAM_BITS))[ok].astype(np.int32))
             owners.append(owner[:m][ok])
     gram, own = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (buckets, owners))
-    order = np.argsort(own, kind="stable")
-    return Words((names >> U(64 - WORD_BITS)).astype(np.int64), gram[order], np.searchsorted(own[order], np.arange(len(names) + 1)), sequence, at)
+    return gram[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(sizes))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,37 +218,66 @@ class Network:
         return out, by_x[:-1]
 
 
-def _odds(seen: Iterator[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Log-odds of label 1 by bucket from the texts that hold it, shrunk where few do."""
-    counts = np.ones((2, size)) * 0.5
+def _odds(seen: Iterator[np.ndarray], labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of label 1 by bucket from its places in the texts (at most OFTEN in each), shrunk where few texts hold it; whether at least RARE do."""
+    counts, texts = np.full((2, size), 0.5), np.zeros(size)
     for s, y in zip(seen, labels):
-        counts[y, s] += 1
+        buckets, n = np.unique(s, return_counts=True)
+        counts[y, buckets] += np.minimum(n, OFTEN)
+        texts[buckets] += 1
     n = np.bincount(labels, minlength=2) + 1
-    total = counts.sum(axis=0) - 1
-    return (np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])) * total / (total + 5)
+    return (np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])) * texts / (texts + 5), texts >= RARE
 
 
 @dataclass
 class ToxicityModel:
     network: Network
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(SIGNS))
     shift: float = 0.0
     base: float = 0.0  # score without words
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """For each text the largest logit of its windows; -inf without words."""
-        out = np.full(len(texts), -np.inf)
+    def signs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What the logits of all windows say of each text, and whether it has any words."""
+        out = np.zeros((len(texts), SIGNS))
         words = words_of(texts)
+        sizes = np.diff(words.at)
         if len(words.word):
             windows, owner = words.windows()
             x, _ = self.network.inputs(words)
-            for k in range(0, len(windows), 8192):
-                np.maximum.at(out, owner[k : k + 8192], self.network.forward(x, windows[k : k + 8192])[0])
-        return out
+            z = np.concatenate([self.network.forward(x, windows[k : k + 4096])[0] for k in range(0, len(windows), 4096)]).astype(np.float64)
+            order = np.lexsort((-z, owner))
+            z, owner = z[order], owner[order]
+            n = np.bincount(owner, minlength=len(texts))
+            first = np.cumsum(n) - n
+            some = n > 0
+            total = np.concatenate(([0], np.cumsum(z)))
+            top = np.minimum(n, TOP)
+            likely = np.bincount(owner, _sigmoid(z), len(texts))
+            out[some, 0] = z[first[some]]
+            out[:, 1] = (total[first + top] - total[first]) / np.maximum(top, 1)
+            out[:, 2] = np.log1p(likely)
+            out[:, 3] = likely / np.maximum(n, 1)
+        return out, sizes > 0
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.logits(texts)
-        return np.where(np.isfinite(z), _sigmoid(self.slope * np.where(np.isfinite(z), z, 0) + self.shift), self.base)
+        signs, some = self.signs(texts)
+        return np.where(some, _sigmoid(signs @ self.slopes + self.shift), self.base)
+
+
+def _scale(z: np.ndarray, y: np.ndarray, share: float | None) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic fit by Newton steps with a ridge on the slopes of the scaled signs; ``share`` of label 1 weighs the texts."""
+    middle, spread = z.mean(axis=0), z.std(axis=0) + 1e-6
+    rows = np.hstack([(z - middle) / spread, np.ones((len(z), 1))])
+    n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
+    share = n1 / max(1, len(y)) if share is None else share
+    each = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
+    ridge = np.diag([RIDGE] * z.shape[1] + [1e-6])
+    w = np.zeros(rows.shape[1])
+    for _ in range(100):
+        p = _sigmoid(rows @ w)
+        hess = (rows * ((p * (1 - p) + 1e-9) * each)[:, None]).T @ rows + ridge
+        w -= np.clip(np.linalg.solve(hess, rows.T @ ((p - y) * each) + ridge @ w), -2, 2)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * middle / spread).sum())
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> ToxicityModel:
@@ -244,7 +290,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
     labels = np.asarray(labels, np.int64)
     base = float(labels.mean()) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(Network.fresh(np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)), 0.0, float(np.log((base + 1e-3) / (1 - base + 1e-3))), base)
+        return ToxicityModel(Network.fresh(np.zeros(1 << WORD_BITS), np.zeros(1 << GRAM_BITS)), shift=float(np.log((base + 1e-3) / (1 - base + 1e-3))), base=base)
     r = np.random.default_rng(11)
     turn = r.permutation(len(labels))
     held = np.zeros(len(labels), bool)
@@ -254,33 +300,38 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
     learn = np.flatnonzero(~held)
     words = words_of([texts[i] for i in learn])
     y = labels[learn]
-    per_text = [np.unique(words.sequence[a:b]) for a, b in zip(words.at[:-1], words.at[1:])]
-    word_odds = _odds((np.unique(words.word[s]) for s in per_text), y, 1 << WORD_BITS)
-    grams_of = lambda s: np.unique(words.gram[np.concatenate([np.arange(words.gram_at[i], words.gram_at[i + 1]) for i in s])]) if len(s) else words.gram[:0]
-    gram_odds = _odds(map(grams_of, per_text), y, 1 << GRAM_BITS)
+    per_text = [words.sequence[a:b] for a, b in zip(words.at[:-1], words.at[1:])]
+    word_odds, word_met = _odds((words.word[s] for s in per_text), y, 1 << WORD_BITS)
+    gram_odds, gram_met = _odds(map(words.grams_of, per_text), y, 1 << GRAM_BITS)
     net = Network.fresh(word_odds * 0.3, gram_odds * 0.3)
+    met = {"word": word_met[:, None].astype(np.float32), "gram": gram_met[:, None].astype(np.float32)}
+    for name, own in met.items():  # what few texts hold says nothing and can't be learnt by heart
+        net.weights[name] *= own
     windows, owner = words.windows()
     x, _ = net.inputs(words)
     hot = np.append(x[:, 0] + x[:, WIDTH], -1e9)[windows].max(axis=1)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     counts = np.diff(np.append(first, len(owner)))
 
-    def likeliest(by: np.ndarray) -> np.ndarray:
+    none = y[owner[first]] == 0
+
+    def likeliest(by: np.ndarray, of: np.ndarray, most: int) -> np.ndarray:
+        """Of these texts the windows that are likeliest, at most so many of each."""
         order = np.lexsort((-by, owner))
-        return order[first]
+        return np.concatenate([order[first[of & (counts > k)] + k] for k in range(most)])
 
-    best = likeliest(hot)
-    none = y[owner[first]] == 0
+    ones, zeros = likeliest(hot, ~none, TAUGHT), likeliest(hot, none, 1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
+    settled = {k: np.zeros_like(v) for k, v in net.weights.items()}  # mean of the weights after each of the later rounds
     step = 0
     size = min(BATCH[1], max(BATCH[0], len(first) // 8))
     rounds = max(EPOCHS[0], min(EPOCHS[1], SEEN // (2 * len(first))))
     for turn_no in range(rounds):
         if turn_no == (rounds + 1) // 2:  # from here on the network itself names the likeliest window of a text of label 0
             x, _ = net.inputs(words)
-            now = likeliest(np.concatenate([net.forward(x, windows[k : k + 8192])[0] for k in range(0, len(windows), 8192)]))
-            best = np.where(none, now, best)
-        chosen = np.concatenate([best, (first + (r.random(len(first)) * counts).astype(int))[none]])
+            now = np.concatenate([net.forward(x, windows[k : k + 4096])[0] for k in range(0, len(windows), 4096)])
+            zeros = likeliest(now, none, 1)
+        chosen = np.concatenate([ones, zeros, (first + (r.random(len(first)) * counts).astype(int))[none]])
         target = y[owner[chosen]].astype(np.float32)
         weight = np.where(target == 1, len(target) / (2 * max(1, target.sum())), len(target) / (2 * max(1, (1 - target).sum()))).astype(np.float32)
         turn = r.permutation(len(chosen))
@@ -290,37 +341,29 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None) -> Tox
             local = local.reshape(len(pick), WINDOW)
             used = used[used < len(words.word)]
             sizes = np.diff(words.gram_at)[used]
-            grams = words.gram[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(words.gram_at[used], sizes)]
+            grams = words.grams_of(used)
             part = Words(words.word[used], grams, np.concatenate(([0], np.cumsum(sizes))), local, local)
             x, scale = net.inputs(part)
             logit, kept = net.forward(x, local, keep=True)
             slope = ((_sigmoid(logit) - target[pick]) * weight[pick] / len(pick)).astype(np.float32)
             grads, by_x = net.gradient(x, local, kept, slope)
             for name, where, rows in (("word", part.word, by_x[:, :WIDTH]), ("gram", grams, np.repeat(by_x[:, WIDTH:] * scale[:, None], sizes, axis=0))):
-                grads[name] = np.stack([np.bincount(where, rows[:, c], len(net.weights[name])) for c in range(WIDTH)], axis=1).astype(np.float32)
+                grads[name] = np.stack([np.bincount(where, rows[:, c], len(net.weights[name])) for c in range(WIDTH)], axis=1).astype(np.float32) * met[name]
             step += 1
             for name, g in grads.items():
                 m, v = moment[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.weights[name] -= ((VECTOR_RATE if name in ("word", "gram") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        if turn_no >= rounds // 2:
+            for name, v in net.weights.items():
+                settled[name] += v / (rounds - rounds // 2)
+    net.weights = settled
     model = ToxicityModel(net, base=base)
     check = np.flatnonzero(held) if held.any() else learn
-    z = model.logits([texts[i] for i in check])
-    ok = np.isfinite(z)
+    z, ok = model.signs([texts[i] for i in check])
     z, y = z[ok], labels[check][ok]
-    n1, n0 = y.sum(), (1 - y).sum()
-    share = n1 / max(1, len(y)) if share is None else share
-    each = np.where(y == 1, share / max(1, n1), (1 - share) / max(1, n0)) * len(y)
-    a, b = 1.0, 0.0
-    for _ in range(100):  # Newton steps of a logistic fit with a ridge on the slope: the nearest texts of both labels place it
-        p = _sigmoid(a * z + b)
-        d = (p * (1 - p) + 1e-9) * each
-        g = np.array([((p - y) * each * z).sum() + RIDGE * a, ((p - y) * each).sum()])
-        hess = np.array([[(d * z * z).sum() + RIDGE, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
-        da, db = np.linalg.solve(hess, g)
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -2, 2)
-    model.slope, model.shift = float(a), float(b)
+    model.slopes, model.shift = _scale(z, y, share)
     return model
 
 
@@ -335,11 +378,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, documents * 4 / 3 / max(1, n.get(1, 0))).otherwise(documents * 4 / 3 / max(1, n.get(0, 0)))
     ids = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < share * (1 << 40))
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= longest))
-    rows = texts.join(F.broadcast(ids), "i").collect()
-    sample: list = []
-    for y in (0, 1):
-        sample += sorted((r for r in rows if r.y == y), key=lambda r: (hash_order(r.i), r.i, r.t))[:documents]
-    return fit([r.t for r in sample], np.array([r.y for r in sample], np.int64), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
+    rows = texts.join(F.broadcast(ids), "i").select("i", "y", "t").toArrow()  # texts stay packed, one copy of them
+    i, y, t = rows.column("i").to_pylist(), rows.column("y").to_numpy(), rows.column("t")
+    sample = [k for label in (0, 1) for k in sorted(np.flatnonzero(y == label).tolist(), key=lambda k: (hash_order(i[k]), i[k], t[k].as_py()))[:documents]]
+    texts_, labels_ = t.take(pa.array(sample, pa.int64())).to_pylist(), y[sample].astype(np.int64)
+    del rows, i, y, t
+    return fit(texts_, labels_, n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0)))
 
 
 def hash_order(i: int) -> int:
