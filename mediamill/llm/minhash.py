@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import LOWER, U, Forest, checkpointed, connected_components, id_filter, maybe_in, mix64, shingle_sets, slices, texts_of, without_ids
 
@@ -56,16 +56,20 @@ def _signatures(id_col: str, text_col: str, width: int, n: int):
     return run
 
 
-def _sets(id_col: str, text_col: str, width: int):
+def _sets(text_col: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
-                sets = shingle_sets([t.translate(LOWER) for t in texts_of(batch, text_col)], width)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+                sets = [s for s in shingle_sets([t.translate(LOWER) for t in texts_of(batch, text_col)], width) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
     return run
 
 
+def _name(shingles: np.ndarray) -> int:
+    return int(mix64(shingles ^ U(0x51)).sum().view(np.int64))
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two blocks of sorted sets."""
     if len(left) == 1:
@@ -90,22 +94,50 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _link(percent: int):
-    """Within one group: side 0 against side 1 (or side 2, a block with itself); only pairs not yet connected matter, so a spanning forest is enough."""
+def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many coordinates each signature of one block agrees with each of the other."""
+    return sum((left[:, k, None] == right[None, :, k]).astype(np.int16) for k in range(left.shape[1]))
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Side 0 meets side 1; rows of side 2 meet each other."""
+    pdf = pdf.drop_duplicates(["node", "side"])
+    own = pdf[pdf.side != 1]
+    return own, own if (pdf.side == 2).any() else pdf[pdf.side == 1]
+
+
+def _collide(matches: int):
+    """Of one block pair the rows that agree with a row of the other side, not yet connected with it, in at least ``matches`` coordinates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "side"])
-        own, other = pdf[pdf.side != 1], pdf[pdf.side == 1]
-        if (pdf.side == 2).any():
-            other = own
+        own, other = _sides(pdf)
+        if not len(own) or not len(other):
+            return pdf[:0]
+        left, right = (np.stack(x.tokens.to_numpy()) for x in (own, other))
+        close = (_agreeing(left, right) >= matches) & (own.component.to_numpy()[:, None] != other.component.to_numpy()[None, :])
+        if other is own:
+            return own[close.any(axis=1)]
+        return pd.concat([own[close.any(axis=1)], other[close.any(axis=0)]])
+
+    return run
+
+
+def _link(percent: int, matches: int):
+    """Of one group the links, confirmed on full sets: only pairs not yet connected matter, so a spanning forest is enough. Signatures, if given, say which pairs collide enough."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, other = _sides(pdf)
         found: list[tuple[int, int]] = []
         if len(own) and len(other):
             left, right = ([np.frombuffer(x, U) for x in part.shingles] for part in (own, other))
             inter = _overlaps(left, right)
             union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - inter
-            ids, more, c1, c2 = own.doc_id.tolist(), other.doc_id.tolist(), own.component.tolist(), other.component.tolist()
+            good = 100 * inter >= percent * union
+            if "tokens" in pdf.columns:
+                good &= _agreeing(*(np.stack(x.tokens.to_numpy()) for x in (own, other))) >= matches
+            ids, more, c1, c2 = own.node.tolist(), other.node.tolist(), own.component.tolist(), other.component.tolist()
             forest = Forest()
-            for i, j in zip(*np.nonzero((100 * inter >= percent * union) & (union > 0))):
+            for i, j in zip(*np.nonzero(good)):
                 if ids[i] != more[j] and forest.join(c1[i], c2[j]):
                     found.append((ids[i], more[j]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -113,61 +145,74 @@ def _link(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents link when the Jaccard similarity of their sets of distinct ``width``-word shingles
     (A-Z lowered; fewer words: the whole sequence) is at least ``percent``/100.
 
     1. Each task hashes whole texts to shingle sets and MinHash tokens (coordinate, value); equal
-       sets form one class, and only class representatives go on.
-    2. Tokens are posted. Sharing ``matches`` of the tokens (by default what fits ``percent``) implies sharing one among a document's
-       ``coordinates - matches + 1`` rarest (prefix filter; tokens of one document only drop out
-       first), so only these make posting lists.
-    3. Each list's members meet its best-connected member first; links are confirmed on full sets.
-       Documents so joined need not meet again (skip): in lists that still hold several
-       groups, those outside the largest meet all others, cut into blocks of ``BLOCK``.
+       sets form one class, and only classes go on, each under the 64-bit hash of its set.
+    2. Classes are posted under their tokens. A pair is retained if it agrees in ``matches``
+       coordinates (by default what fits ``percent``); then it shares one of either's
+       ``coordinates - matches + 1`` rarest tokens (prefix), so only these make posting lists.
+       The other, longer lists are never merged: their coordinates are looked up for the pairs that
+       met (skip), which gives the pair's whole count of collisions.
+    3. Each list's members meet its best-connected member first, in salted groups of ``SALT_ROWS``;
+       retained pairs are confirmed on full sets. Documents so joined need not meet again: in lists
+       that still hold several groups, those outside the largest meet all others, cut into blocks of
+       ``BLOCK``; collisions are counted in each pair of blocks, and only rows of retained pairs
+       bring their full sets.
     4. Components over the confirmed links.
 
-    Null or wordless texts have an empty set and stay alone; repeated ids share their smallest
-    component by id; an empty table gives an empty result.
+    Null or wordless texts have an empty set and stay alone; rows of one id are one node: whatever
+    links with any of their texts reaches all; rows without id have no component; ids are
+    numbers (others raise); an empty table gives an empty result.
     """
     matches = fitting_matches(percent, coordinates) if matches is None else matches
-    sigs = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_signatures("doc_id", "text", width, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
-    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-    posts = classes.select("rep", F.explode("tokens").alias("token"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sigs = checkpointed(source.mapInArrow(_signatures("doc_id", "text", width, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
+    worded = sigs.where("n_shingles > 0 and doc_id is not null")
+    classes = checkpointed(worded.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")).withColumn("node", F.col("d1")))
+    tokens_of = classes.select("node", "tokens")
+    posts = classes.select("node", F.explode("tokens").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    by_doc = posts.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"), F.sum("n").alias("weight"))
+    by_doc = posts.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"), F.sum("n").alias("weight"))
     by_doc = by_doc.where(F.size("shared") >= matches)
-    prefix = checkpointed(by_doc.select("rep", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("s")).select("rep", "weight", F.col("s.token").alias("token")))
+    prefix = checkpointed(by_doc.select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (matches - 1))).alias("s")).select("node", "weight", F.col("s.token").alias("token")))
 
-    hubs = prefix.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rep")).alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("token", (-F.col("h.hub")).alias("hub"), "m")
-    stars = checkpointed(prefix.join(hubs, "token").where("rep <> hub").select("rep", "hub").distinct())
-    involved = checkpointed(prefix.join(hubs.select("token"), "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = maybe_in(source, "doc_id", id_filter(involved, "doc_id"))
+    hubs = prefix.groupBy("token").agg(F.max(F.struct("weight", F.col("node").alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("token", F.col("h.hub").alias("hub"), "m")
+    stars = checkpointed(prefix.join(hubs, "token").where("node <> hub").select("node", "hub").distinct())
 
     def confirmed(members: DataFrame, key: list[str]) -> DataFrame:
-        """members: doc_id, side, component and the key of the group in which they meet."""
-        sets = some.mapInArrow(_sets("doc_id", "text", width), "doc_id long, shingles binary")
-        rows = members.join(sets, "doc_id")
-        return rows.groupBy(*key).applyInPandas(_link(percent), "a long, b long")
-
-    salted = stars.join(stars.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).alias("parts")), "hub").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    members = salted.select(F.col("rep").alias("doc_id"), F.lit(1).alias("side"), F.col("rep").alias("component"), "hub", "salt").unionByName(salted.select(F.col("hub").alias("doc_id"), F.lit(0).alias("side"), F.col("hub").alias("component"), "hub", "salt").distinct())
-    links = checkpointed(confirmed(members, ["hub", "salt"]))
+        """members: node, side, component and the key of the group in which they meet."""
+        involved = checkpointed(members.select("node").distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct())
+        sets = maybe_in(source, "doc_id", id_filter(involved, "doc_id")).select("text").mapInArrow(_sets("text", width), "node long, shingles binary")
+        return members.join(sets, "node").groupBy(*key).applyInPandas(_link(percent, matches), "a long, b long")
+
+    # few centres have more members than one group takes
+    large = stars.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).alias("parts")).where("parts > 1")
+    salted = stars.join(large, "hub", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+
+    def around(rows: DataFrame) -> DataFrame:
+        return rows.select("node", F.lit(1).alias("side"), "hub", "salt").unionByName(rows.select(F.col("hub").alias("node"), F.lit(0).alias("side"), "hub", "salt").distinct())
+
+    centre = F.first("tokens").over(Window.partitionBy("hub", "salt").orderBy("side"))
+    collisions = F.aggregate(F.zip_with("tokens", "centre", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    retained = checkpointed(around(salted).join(tokens_of, "node").withColumn("centre", centre).where((F.col("side") == 1) & (collisions >= matches)).select("node", "hub", "salt"))
+    links = checkpointed(confirmed(around(retained).withColumn("component", F.col("node")), ["hub", "salt"]))
     # a document's mark is its smallest linked centre, or that one's: equal marks are surely connected
     mark = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
     first = mark.alias("m").join(mark.alias("n"), F.col("m.to") == F.col("n.node"), "left").select("m.node", F.coalesce("n.to", "m.to").alias("component"))
     first = checkpointed(first)
 
-    rest = prefix.join(hubs, "token").where("m > 2 and rep <> hub").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    rest = prefix.join(hubs, "token").where("m > 2 and node <> hub").join(first, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
     lists = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark")).where("size > main.n")
     lists = lists.groupBy("mark", "size").agg(F.min(F.struct("token", "main")).alias("l")).select(
         F.col("l.token").alias("token"), F.col("l.main.component").alias("main"), F.ceil(F.col("l.main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("size") - F.col("l.main.n")) / BLOCK).alias("other_blocks")
     )
-    open_ = rest.join(lists, "token").withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep", "token"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))))
+    open_ = rest.join(lists, "token").withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     pairing = F.when(F.col("is_main"), F.transform(upto("other_blocks"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(
         F.concat(
@@ -178,11 +223,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ),
         )
     )
-    met = open_.select(F.col("rep").alias("doc_id"), "component", "token", F.explode(pairing).alias("p")).select("doc_id", "component", "token", "p.*")
-    links = links.unionByName(checkpointed(confirmed(met, ["token", "i", "j"])))
-    final = connected_components(links, "a", "b")
-    classes = classes.select("d1", "d2", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    return sigs.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    met = open_.join(tokens_of, "node").select("node", "component", "token", "tokens", F.explode(pairing).alias("p")).select("node", "component", "token", "tokens", "p.*")
+    close = checkpointed(met.groupBy("token", "i", "j").applyInPandas(_collide(matches), met.schema))
+    links = links.unionByName(checkpointed(confirmed(close, ["token", "i", "j"])))
+    # rows of one id with different texts
+    least = worded.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("doc_id", "a")
+    links = links.unionByName(worded.join(least, "doc_id").where("d1 <> a").select("a", F.col("d1").alias("b")))
+    found = connected_components(links, "a", "b")
+    reps = classes.select("node", "rep")
+    linked = reps.join(found, "node")
+    linked = linked.select("node", "component").join(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    named = classes.select("d1", "d2", "n_shingles", "node", "rep").join(linked, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return sigs.join(named, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

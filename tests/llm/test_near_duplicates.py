@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -55,13 +56,13 @@ def test_equals_brute_force(spark):
     texts = made_texts()
     rows = [(i, t, "tokens", 0, i) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string, side int, component long")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, percent=85).collect()}
     sets = {i: plain_sets(t) for i, t in enumerate(texts)}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     roots = plain_components(sets, links)
     assert len(links) > 30
     assert got == {i: (len(s), roots[i], roots[i] == i) for i, s in sets.items()}
-    kept = minhash.keep_one(docs)
+    kept = minhash.keep_one(docs, percent=85)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in sets if roots[i] == i}
 
@@ -81,7 +82,7 @@ def test_large_group_of_near_copies_meets_in_blocks(spark, monkeypatch):
     sets = {i: plain_sets(t) for i, t in enumerate(texts)}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     roots = plain_components(sets, links)
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == roots
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=85).collect()} == roots
 
 
 def test_pipeline_stage_links_from_0_80(spark):
@@ -109,6 +110,44 @@ def test_empty_and_repeated(spark):
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(twice).collect()) == [(0, 0), (1, 0), (1, 0)]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(5, [*a, "x"]), (5, [*b, "x"]), (6, [*a, "y"]), (7, [*b, "z"]), (9, ["q"] * 30), (9, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (9, 9), (9, 9)]
+
+
+def test_list_of_several_groups_in_blocks(spark, monkeypatch):
+    """Chains of neighbours under shared tokens: no member is near to all others, so lists stay open after the stars."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "SALT_ROWS", 2)
+    r = random.Random(8)
+    shared = [f"s{i}" for i in range(200)]
+    texts = []
+    for k in range(5):
+        own = [*shared, *(f"g{k}x{i}" for i in range(60))]
+        for step in range(9):
+            own = list(own)
+            for at in r.sample(range(200, 260), 3):
+                own[at] = f"n{k}x{step}x{at}"
+            texts.append(" ".join(own))
+    sets = {i: plain_sets(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = plain_components(sets, links)
+    assert 1 < len(set(roots.values())) < 45 and len(links) < 45 * 44 // 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()} == roots
+
+
+def test_collisions_decide():
+    tokens = np.arange(8)[None, :] + np.array([[0], [0], [100]])
+    tokens[1, 5:] += 50
+    rows = pd.DataFrame({"node": [1, 2, 3], "component": [1, 2, 3], "side": [0, 1, 1], "tokens": list(tokens)})
+    assert minhash._collide(5)(rows).node.tolist() == [1, 2] and not len(minhash._collide(6)(rows))
+    assert not len(minhash._collide(5)(rows.assign(component=7)))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, r.randrange(101, 180)) for _ in range(60)] + [(7, 7), (200, 199)]
