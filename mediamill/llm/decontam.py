@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import U, put, slices, span_hashes, texts_of, with_fields
 
 WINDOW = 10
-#: Bytes of training text under one index, and of benchmark text broadcast at once; a larger benchmark is searched block by block.
-SHARD_BYTES, BENCHMARK_BYTES = 1 << 20, 32 << 20
+#: Bytes of training text under one index. Windows (about) of one benchmark block: at most 80 bytes each, so a block of about 20 MB; a worker holds one block at a time.
+SHARD_BYTES, PHRASES = 1 << 20, 1 << 18
+#: Words of a piece into which long items are cut (with overlap, so that no window is lost).
+PIECE = 1 << 14
 #: Every so many text positions the index keeps a suffix position.
 SAMPLE = 8
 
@@ -142,17 +145,22 @@ class Phrases:
     def __init__(self, items: list[tuple[int | None, bytes]], window: int) -> None:
         hashes, _, _, at = words_of([t for _, t in items])
         self.words = np.unique(hashes)
-        ids = np.searchsorted(self.words, hashes) + 1
-        owners: dict[bytes, set[int]] = {}
-        for (item, _), a, b in zip(items, at[:-1], at[1:]):
-            for k in range(a, max(a + 1, b - window + 1) if b > a else a):
-                owners.setdefault(ids[k : min(b, k + window)].tobytes(), set()).update(() if item is None else (item,))
-        self.lengths = np.array([len(k) // 8 for k in owners], np.int64)
-        self.table = np.zeros((len(owners), window), np.int64)
-        for r, k in enumerate(owners):
-            self.table[r, window - len(k) // 8 :] = np.frombuffer(k, np.int64)
-        self.owners = [sorted(v) for v in owners.values()]
+        ids = np.concatenate((np.searchsorted(self.words, hashes) + 1, [0])).astype(np.int32)
+        sizes = np.diff(at)
+        n = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        item = np.repeat(np.arange(len(items)), n)
+        first = at[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        length = np.minimum(sizes[item], window)
+        rows = np.zeros((len(item), window), np.int32)
+        for k in range(1, window + 1):  # windows stand at the right end of their rows
+            rows[:, -k] = np.where(length >= k, ids[np.where(length >= k, first + length - k, -1)], 0)
+        _, index, inverse = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        self.table, self.lengths = rows[index], length[index]
         self.shortest = int(self.lengths.min(initial=window))
+        named = np.array([i is not None for i, _ in items], bool)
+        names = np.array([i or 0 for i, _ in items], np.int64)
+        pairs = np.unique(np.stack([inverse[named[item]], names[item][named[item]]], axis=1), axis=0) if named[item].any() else np.zeros((0, 2), np.int64)
+        self.owners, self.owners_at = pairs[:, 1].copy(), np.searchsorted(pairs[:, 0], np.arange(len(index) + 1))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for a word of no phrase."""
@@ -196,7 +204,7 @@ class Phrases:
             inside = np.cumsum(cover)[:-1] > 0
             owner = np.searchsorted(at, first, "right") - 1
             for d, p in set(zip(owner.tolist(), phrase.tolist())):
-                items[d].update(self.owners[p])
+                items[d].update(self.owners[self.owners_at[p] : self.owners_at[p + 1]].tolist())
             for d in set(owner.tolist()):
                 f = np.flatnonzero(np.diff(np.concatenate(([False], inside[at[d] : at[d + 1]], [False])).astype(np.int8)))
                 spans[d] = list(zip(f[::2].tolist(), f[1::2].tolist()))
@@ -206,26 +214,46 @@ class Phrases:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast phrases, each of at most about BENCHMARK_BYTES of benchmark text."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = math.ceil(total / BENCHMARK_BYTES) or 1
-    block = F.pmod(F.xxhash64("t"), F.lit(parts))
-    for k in range(parts):
-        rows = items.where(block == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in rows], window))
+def _pieces(window: int):
+    """Items as pieces of at most ``PIECE`` words that together hold all their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch, "t")):
+                _, starts, ends, _ = words_of([text])
+                cuts = [(k, min(len(starts), k + PIECE)) for k in range(0, max(1, len(starts) - window + 1), PIECE - window + 1)] if len(starts) else []
+                if cuts:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(cuts), pa.int64()), pa.array([text[starts[a] : ends[b - 1]] for a, b in cuts], pa.binary()), pa.array([b - a for a, b in cuts], pa.int64())], names=["i", "t", "n"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[Broadcast]:
+    """Broadcast phrases, each of about ``PHRASES`` windows at most; the driver holds one block at a time."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(_pieces(window), "i long, t binary, n long")
+    parts = math.ceil((items.agg(F.sum("n")).first()[0] or 0) / PHRASES) or 1
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(Phrases([(r.i, bytes(r.t)) for r in items.where(block == k).collect()], window)) for k in range(parts)]
 
 
-def _scan(phrases, text_col: str):
+def _each(blocks: list[Broadcast]) -> Iterator[Phrases]:
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)  # read again for the next shard, so that one block is held at a time
+
+
+def _scan(blocks: list[Broadcast], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col, SHARD_BYTES):
-                n, spans, items, _, _ = phrases.value.hits(texts_of(batch, text_col))
-                old = batch.schema.names
-                if "hit_spans" in old:
-                    for k, (s, i) in enumerate(zip(batch.column(old.index("hit_spans")).to_pylist(), batch.column(old.index("item_ids")).to_pylist())):
-                        spans[k], items[k] = _merge([(x["start"], x["end"]) for x in s] + spans[k]), items[k] | set(i)
+                texts = texts_of(batch, text_col)
+                spans, items = [[] for _ in texts], [set() for _ in texts]
+                for phrases in _each(blocks):
+                    n, more, own, _, _ = phrases.hits(texts)
+                    spans = [_merge(a + b) if a else b for a, b in zip(spans, more)]
+                    items = [a | b for a, b in zip(items, own)]
                 made = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield put(batch, n_words=pa.array(n, pa.int64()), hit_spans=made, item_ids=pa.array([sorted(i) for i in items], pa.list_(pa.int64())))
 
@@ -247,39 +275,44 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     Words are runs of 0-9, a-z (A-Z lowered) and characters beyond ASCII. Each shard of texts
     becomes one sequence of symbols: a word that no phrase has ends a run, and runs shorter than
-    any phrase hold none. Its FM-index is searched backwards for all phrases at once. An item with
+    any phrase hold none. Its FM-index is built, searched backwards for all phrases at once and let go. An item with
     fewer words than ``window``, but not none, is one phrase. Null and empty texts have no words and
-    no hits; null items have no phrases; repeated rows each get their result; columns of ``docs``
-    named as an output give way. No shuffle; the benchmark is broadcast in blocks of bounded size.
+    no hits; a longer text is a shard of its own, whole; null items have no phrases, items without id hit without being named; repeated rows each get their result; columns of ``docs``
+    named as an output give way; an empty table gives an empty one. No shuffle; the benchmark is broadcast in blocks of bounded size, whatever its own.
     """
-    out = docs.drop("n_words", "hit_spans", "item_ids")
-    for phrases in _blocks(benchmark, item_col, item_text, window):
-        out = out.mapInArrow(_scan(phrases, text_col), with_fields(out.schema, ("n_words", T.LongType()), ("hit_spans", _SPANS), ("item_ids", T.ArrayType(T.LongType()))))
-    return out
+    docs = docs.drop("n_words", "hit_spans", "item_ids")
+    return docs.mapInArrow(_scan(_blocks(benchmark, item_col, item_text, window), text_col), with_fields(docs.schema, ("n_words", T.LongType()), ("hit_spans", _SPANS), ("item_ids", T.ArrayType(T.LongType()))))
+
 
+def _without(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> bytes:
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(text[at : starts[a]])
+        at = ends[b - 1]
+    return b"".join([*kept, text[at:]])
 
-def _cut(phrases, text_col: str):
-    def clean(text: bytes) -> bytes:
-        while True:
-            _, (spans,), _, (starts,), (ends,) = phrases.value.hits([text])
-            if not spans:
-                return text
-            at, kept = 0, []
-            for a, b in spans:
-                kept.append(text[at : starts[a]])
-                at = ends[b - 1]
-            text = b"".join([*kept, text[at:]])
 
+def _cut(blocks: list[Broadcast], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col, SHARD_BYTES):
                 texts = texts_of(batch, text_col)
-                _, spans, *_ = phrases.value.hits(texts)
-                column = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                for k, s in enumerate(spans):
-                    if s:
-                        column[k] = clean(texts[k]).decode()
-                yield batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), pa.array(column, batch.schema.field(text_col).type))
+                live, cut = list(range(len(texts))), set()
+                while live:  # each round shortens the texts that stay in it by a word at least
+                    hit = set()
+                    for phrases in _each(blocks):
+                        _, spans, _, starts, ends = phrases.hits([texts[k] for k in live])
+                        for k, s, a, b in zip(live, spans, starts, ends):
+                            if s:
+                                texts[k] = _without(texts[k], s, a, b)
+                                hit.add(k)
+                    cut |= hit
+                    live = sorted(hit)
+                place = batch.schema.get_field_index(text_col)
+                column = batch.column(place).to_pylist()
+                for k in cut:
+                    column[k] = texts[k].decode()
+                yield batch.set_column(place, batch.schema.field(place), pa.array(column, batch.schema.field(place).type))
 
     return run
 
@@ -287,8 +320,7 @@ def _cut(phrases, text_col: str):
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with all removal spans cut from the text, until no phrase is left, also where cuts join.
 
-    Other rows and columns stay as they are; null texts stay null.
+    Texts of a shard that were cut are searched again together, so the number of rounds is that of
+    the text with the most; other rows and columns stay as they are; null texts stay null.
     """
-    for phrases in _blocks(benchmark, item_col, item_text, window):
-        docs = docs.mapInArrow(_cut(phrases, text_col), docs.schema)
-    return docs
+    return docs.mapInArrow(_cut(_blocks(benchmark, item_col, item_text, window), text_col), docs.schema)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import functools
+import pickle
 import random
 import re
 
@@ -118,11 +120,11 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, hit_spans string")
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     want = plain_hits(texts, items)
-    for limit in (decontam.BENCHMARK_BYTES, 300):  # one block, several blocks
-        monkeypatch.setattr(decontam, "BENCHMARK_BYTES", limit)
+    for limit, piece in ((1 << 18, 1 << 14), (40, 12)):  # one block, several blocks of cut items
+        monkeypatch.setattr(decontam, "PHRASES", limit)
+        monkeypatch.setattr(decontam, "PIECE", piece)
         rows = decontam.find_contamination(docs, bench).collect()
         assert {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.hit_spans), r.item_ids) for r in rows} == dict(enumerate(want))
-    monkeypatch.setattr(decontam, "BENCHMARK_BYTES", 32 << 20)
     cut = {r.doc_id: r.text for r in decontam.remove_contamination(docs, bench).collect()}
     assert all(n == 0 for _, n, _ in plain_hits([cut[i] for i in range(len(texts))], items))
     assert all(cut[i] == texts[i] for i, (_, n, _) in enumerate(want) if not n)
@@ -131,6 +133,18 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_of_a_large_benchmark_stay_small(spark):
+    """Long items are cut and dealt over blocks; each block is bounded, whatever the benchmark's size."""
+    r = random.Random(6)
+    items = [(k, " ".join(f"w{r.randrange(200_000)}" for _ in range(60_000))) for k in range(10)]
+    blocks = decontam._blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 10)
+    sizes = [len(b.value.table) for b in blocks]
+    assert len(blocks) == 3 and sum(sizes) == 10 * (60_000 - 9) and max(sizes) < 1.5 * decontam.PHRASES
+    assert max(len(pickle.dumps(b.value)) for b in blocks) < 30 << 20
+    hits = [b.value.hits([items[3][1].encode()])[1][0] for b in blocks]
+    assert functools.reduce(lambda a, b: decontam._merge(a + b), hits) == [(0, 60_000)]
+
+
 def test_cuts_that_join_a_phrase_are_cut_again(spark):
     phrase = " ".join(f"p{i}" for i in range(10))
     inner = " ".join(phrase.split()[:5]) + " " + phrase + " " + " ".join(phrase.split()[5:])
