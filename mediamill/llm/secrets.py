@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import put, slices, texts_of, with_fields
 
-#: A candidate: a run of these bytes of at least this length (with a digit, or of mixed case), however long.
+#: Signs of a plain run; one of at least this length is a candidate if it has a digit, mixed case or a known prefix, however long.
 _IN = np.zeros(256, bool)
 _IN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/"]] = True
 SHORTEST, AROUND, THRESHOLD = 12, 48, 0.5
-TREES, DEPTH, LEAF = 40, 10, 3
+TREES, DEPTH, LEAF = 60, 12, 2
 
 #: Words near a secret, words near what only looks like one, prefixes of keys, and a small dictionary.
 KEY_WORDS = "password passwd pwd secret token apikey api_key access_key private_key auth bearer credential credentials client_secret key".split()
@@ -31,6 +31,15 @@ DICTIONARY = sorted(
         "about access account action admin after again agent all alpha also and any app are array async auth back base beta block board body book boot build button byte cache call case center change channel char check child class clean click client close cloud code color column common config content context control copy core count create current custom data date day debug default delete demo design detail device dialog dir display document domain down draft edit element email enable end engine entity entry error event example export false field file filter find first flag font form format frame from full function get global grid group guide handle hash head header hello help home host house html icon image import index info init input install item java job join key label lang large last layer layout left length level library light line link list load local lock log login long main make manager map mark master media member memory menu message meta method min mode model module month mouse name native new next node note null number object off online open option order output owner pack page panel param parent parse part pass path pattern people person phone photo place plain plan play plugin point port post power print private process product profile project public query queue quick random range read ready record region release remote remove render report request reset resource rest result return right role root route row rule run sample save scale schema score screen script search section secret select send server service session set setting shape share shell show side sign simple size small sort source space span special stack stage start state status step stop storage store stream string style sub submit support switch symbol system table tag target task team template term test text theme thread time title toggle token tool top total track tree trigger true type under unit update upload url use user util value vector version video view visible volume wait web week widget width window word work world write year zone".split()
     )
 )
+#: What stands in a name before ``=`` or ``:`` if its value may be a secret, and the ends of such names for passwords.
+NAMED = re.compile(rb"(?:pass(?:wor[dt]|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|bearer|credentials?|(?:^|[^a-z])key|[a-z]key)[a-z0-9_.\-]*[\"']?\]?[ \t]*$", re.I)
+STRONG = re.compile(r"(?:pass(?:wor[dt]|wd|phrase|code)?|pwd|secret|token|api[_-]?key)[\"']?\]?\s*[=:]+>?\s*[\"'`]?$", re.I)
+#: What stands where a secret will be put.
+PLACEHOLDERS = "example xxxx 1234567 abcdef changeme change_me placeholder dummy your- your_ <your todo insert redacted env getenv process. none null true false undefined ****".split()
+#: A value without quotes ends here; closing signs at its end don't belong to it.
+_VALUE = re.compile(rb"[^\s\"'`,;]+")
+#: Signed tokens of three parts, and blocks of private keys.
+_WHOLE = re.compile(rb"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
 _WORDS = set(DICTIONARY)
 _LONGEST = max(map(len, DICTIONARY))
 _SPLIT = re.compile(r"[A-Za-z_0-9]+")
@@ -73,8 +82,9 @@ def features(text: str, before: str, after: str, path: str) -> list[float]:
     kind = Counter(kinds)
     steps = [_STEPS[p] for p in map("".join, zip(low, low[1:])) if p in _STEPS]
     near, then = _SPLIT.findall(before.lower()), _SPLIT.findall(after.lower())[:4]
-    last = near[-4:]
-    name = text.split("=")[0].lower()
+    last = [part for w in near[-4:] for part in (w, *w.split("_"))]
+    name = low[:AROUND]
+    bare = [w for w in re.findall(r"[a-z]+", low) if len(w) > 2]
     return [
         min(n, 200),
         -sum(c / n * math.log2(c / n) for c in counts.values()),
@@ -89,7 +99,16 @@ def features(text: str, before: str, after: str, path: str) -> list[float]:
         _coverage(low),
         float(text.startswith(PREFIXES)),
         max(counts.values()) / n,
-        float(any(w in KEY_WORDS for w in last)),
+        float(any(w in KEY_WORDS or w.endswith(("password", "passwd", "secret", "token", "key")) for w in last)),
+        float(bool(STRONG.search(before))),
+        float(bool(re.search(r"[A-Za-z0-9_\]\"']=[\"'`]?$", before))),
+        float(bool(re.search(r"[A-Z]{3,}[\"']?\s*[=:]\s*[\"']?$", before))),
+        float(text.startswith("-----BEGIN")),
+        float(len(text) > 12 and text.startswith("eyJ") and text.count(".") == 2),
+        float(any(c in text for c in "<>${}()[]%*")),
+        float(any(c in text for c in "!@#^&~?")),
+        float(low in _WORDS) + float(not kind["d"] and not kind["s"] and len(bare) == 1 and n < 12),
+        sum(len(w) for w in bare if w in _WORDS) / n,
         float(any(w in INNOCENT for w in last)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in "\"'" and before[-1:] != ""),
@@ -97,7 +116,7 @@ def features(text: str, before: str, after: str, path: str) -> list[float]:
         float(any(w in PATH_WORDS for w in _SPLIT.findall(path.lower()))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", text))),
         float("/" in text) + float("/" in before[-1:]),
-        float(any(w in name for w in ("example", "xxxx", "1234567", "abcdef"))),
+        float(any(w in name for w in PLACEHOLDERS)),
     ]
 
 
@@ -152,7 +171,7 @@ def _grow(rows: np.ndarray, labels: np.ndarray, r: np.random.Generator) -> tuple
     return tuple(np.array(x) for x in (feature, limit, left, right, share))
 
 
-def labelled_findings(count: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(count: int = 6000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
     """Findings made by rule: (candidate, text before, text after, path, 1 if it is a secret)."""
     r = random.Random(seed)
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
@@ -160,28 +179,52 @@ def labelled_findings(count: int = 3000, seed: int = 3) -> list[tuple[str, str,
     letters = "etaoinshrdlucmfwypvbg"
     word = lambda: r.choice(DICTIONARY) if r.random() < 0.4 else pick(letters, r.randint(1, 12))
     prose = lambda n: " ".join(word() for _ in range(n))
-    keep = lambda s: f"{prose(r.randint(0, 6))} {s}"
+    lead = lambda: prose(r.randint(0, 6)) + r.choice((" ", " ", "\n"))
+
+    def name(words: list[str]) -> str:
+        """A name of a setting, in one of the usual spellings."""
+        own = r.choice(words)
+        before = r.choice(("", "", "db", "user", "app", "my", word()))
+        style = r.randrange(4)
+        if style == 0:
+            return (f"{before}_{own}" if before else own).upper()
+        if style == 1 and before:
+            return before + own.capitalize()
+        return f"{before}_{own}" if before and style == 2 else own
+
+    strong = "password passwd pwd secret token api_key apikey access_key auth_token client_secret secret_key private_key passphrase".split()
+
+    def assign(words: list[str] = strong, quoted: float = 0.5) -> str:
+        sign = r.choice(("=", "=", " = ", ": ", ":", " := ", '": ', "' => "))
+        return lead() + name(words) + sign + (r.choice(("\"", "'")) if r.random() < quoted else "")
 
     def secret() -> tuple[str, str]:
-        assign = f"{r.choice(KEY_WORDS)}{r.choice(('=', ': ', ' = ', '=', ' '))}{r.choice(('', chr(34), chr(39)))}"
-        assign = assign if r.random() < 0.5 else assign.upper()
-        kind = r.randrange(7)
+        kind = r.randrange(10)
         if kind == 0:
-            return r.choice(("AKIA", "ASIA")) + pick(upper, 16), keep("") if r.random() < 0.6 else keep(assign)
+            return r.choice(("AKIA", "ASIA")) + pick(upper[: r.choice((26, 32, 32))], 16), lead() if r.random() < 0.6 else assign()
         if kind == 1:
-            return pick(hexes, r.choice((16, 18, 20, 24, 32, 40, 64))), keep(assign)
+            return pick(hexes, r.choice((16, 18, 20, 24, 32, 40, 64))), assign()
         if kind == 2:
-            return r.choice(("ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "AIza", "npm_", "hf_")) + pick(mixed, r.randint(20, 40)), keep("") if r.random() < 0.5 else keep(assign)
+            return r.choice(("ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "AIza", "npm_", "hf_")) + pick(mixed, r.randint(20, 40)), lead() if r.random() < 0.5 else assign()
         if kind == 3:
-            return pick(mixed + "+/", r.choice((32, 40, 44))), keep(assign)
+            return pick(mixed + "+/", r.choice((32, 40, 44))), assign()
         if kind == 4:
-            return "eyJ" + pick(mixed + "-_", r.randint(20, 150)), keep(r.choice(("", "Bearer ", assign)))
+            part = lambda low, high: pick(mixed + "-_", r.randint(low, high))
+            return f"eyJ{part(10, 40)}.{part(20, 150)}.{part(20, 60)}", r.choice((lead(), lead() + "Bearer ", assign()))
         if kind == 5:
-            return pick(mixed, r.randint(12, 24)), keep(assign)
-        return pick(hexes, r.choice((18, 40))), keep(r.choice(("password=", 'token = "')))
+            return pick(mixed, r.randint(12, 24)), assign()
+        if kind == 6:
+            return pick(mixed + "!@#$%^&*-_.?~", r.randint(8, 24)), assign()
+        if kind == 7:
+            return pick(mixed, r.randint(6, 11)), assign()
+        if kind == 8:
+            words = [r.choice(DICTIONARY) if r.random() < 0.6 else pick(letters, r.randint(3, 8)) for _ in range(r.randint(2, 4))]
+            own = r.choice(("", "", "-", ".", "_")).join(words) + r.choice(("", "", pick("0123456789", r.randint(1, 4)), "!"))
+            return own, lead() + name(["password", "passwd", "pwd", "passphrase", "secret"]) + r.choice(("=", "=", "='", '="', ' = "', ": '", '": "'))
+        return f"-----BEGIN {r.choice(('', 'RSA ', 'EC ', 'OPENSSH '))}PRIVATE KEY-----\n" + "\n".join(pick(mixed + "+/", r.choice((64, 64, r.randint(12, 63)))) for _ in range(r.randint(1, 12))) + "\n-----END PRIVATE KEY-----", lead()
 
     def innocent() -> tuple[str, str]:
-        kind = r.randrange(13)
+        kind = r.randrange(18)
         plain = prose(r.randint(0, 6)) + " "
         if kind == 0:
             return "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)), plain + r.choice(("", "id=", "uuid: "))
@@ -207,14 +250,26 @@ def labelled_findings(count: int = 3000, seed: int = 3) -> list[tuple[str, str,
             return pick(mixed + "+/", r.randint(100, 300)), plain + r.choice(("data:image/png;base64,", "image=", "data "))
         if kind == 11:
             return f"{word()}-{word()}-{word()}-v{r.randint(1, 9)}-{r.randint(0, 99)}", plain + r.choice(("", "file "))
-        return f"{word().upper()}_{word().upper()}_{word().upper()}{r.randint(0, 9)}", plain + r.choice(("", "const "))
+        if kind == 12:
+            return f"{word().upper()}_{word().upper()}_{word().upper()}{r.randint(0, 9)}", plain + r.choice(("", "const "))
+        if kind == 13:  # prose and code around the same names
+            return r.choice((word(), r.choice(DICTIONARY), word().capitalize())), lead() + r.choice((name(strong), "the " + r.choice(("password", "token", "secret", "key", "primary key")))) + r.choice((": ", ": ", " : "))
+        if kind == 14:
+            return r.choice(("None", "null", "true", "false", "undefined", "string", "str", "changeme", "password", "secret", "hidden", "required", "optional", "****", "********", "...")), assign()
+        if kind == 15:
+            own = name(strong).upper()
+            return r.choice((f"${{{own}}}", f"${own}", f"<{name(strong)}>", f"{{{{{own}}}}}", f"os.environ[", f"process.env.{own}", f"getenv({own})", f"config.{word()}", f"self.{word()}", f"get_{word()}()", f"%({word()})s", f"your-{word()}-here", f"YOUR_{own}")), assign()
+        if kind == 16:
+            return r.choice((pick("0123456789", r.randint(1, 6)), word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}[{r.randint(0, 9)}]", f"{word()}({word()})")), assign(["key", "sort_key", "primary_key", "token", "token_type", "auth"], 0.2)
+        return f"{word()}.{word()}.{word()}", assign(["key", "token", "auth", "cache_key"], 0.3)
 
     out = []
     for k in range(count):
         y = k % 2
         text, before = secret() if y else innocent()
         odd = r.random() < (0.05 if y else 0.2)
-        out.append((text, before[-AROUND:], f"{r.choice(('', chr(34), ' '))} {prose(3)}", f"{word()}/{r.choice(PATH_WORDS) if odd else word()}.txt" if r.random() < 0.5 else "", y))
+        close = before[-1:] if before[-1:] in "\"'" and before[-1:] else ""
+        out.append((text, before[-AROUND:], f"{close or r.choice(('', ' ', chr(10)))} {prose(3)}", f"{word()}/{r.choice(PATH_WORDS) if odd else word()}.txt" if r.random() < 0.5 else "", y))
     return out
 
 
@@ -234,8 +289,29 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Fores
     return fit(findings or labelled_findings())
 
 
+def _values(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of the values given to names like those of ``NAMED``: to the closing quote, else to white space, of any length and signs."""
+    data = np.frombuffer(text, np.uint8)
+    for at in np.flatnonzero((data == 61) | (data == 58)).tolist():  # = and :
+        if not NAMED.search(text[max(0, at - AROUND) : at].rstrip(b"=:")):
+            continue
+        begin = at + 1
+        while text[begin : begin + 1] in (b" ", b"\t", b"=", b">", b":") and text[begin : begin + 1]:
+            begin += 1
+        quote = text[begin : begin + 1]
+        if quote and quote in b"\"'`":
+            line, end = text.find(b"\n", begin + 1), text.find(quote, begin + 1)
+            if end > begin + 1 and (line < 0 or end < line):
+                yield begin + 1, end
+                continue
+            begin += 1
+        if found := _VALUE.match(text, begin):
+            end = begin + len(found.group().rstrip(b".)]}!?") or found.group())
+            yield begin, end
+
+
 def candidates(texts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Byte spans of the candidates of each text."""
+    """Byte spans of the candidates of each text: long runs that may be random, values of telling names, signed tokens and key blocks; those that overlap are one."""
     joined = b"\n".join(texts) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     flips = np.flatnonzero(np.diff(np.concatenate(([False], _IN[data])).astype(np.int8)))
@@ -247,12 +323,25 @@ def candidates(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     lower = np.concatenate(([0], np.cumsum((data >= 97) & (data <= 122))))
     count = lambda c, extra=0: c[ends] - c[starts + extra]
     may = (count(digit) > 0) | (count(upper, 1) > 0) & (count(lower) > 0)
+    known = tuple(p.encode() for p in PREFIXES)
+    for k in np.flatnonzero(~may).tolist():
+        may[k] = joined.startswith(known, starts[k])
     starts, ends = starts[may], ends[may]
     begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     owner = np.searchsorted(begins, starts, "right") - 1
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     for o, a, b in zip(owner.tolist(), (starts - begins[owner]).tolist(), (ends - begins[owner]).tolist()):
         out[o].append((a, b))
+    for k, text in enumerate(texts):
+        more = [*_values(text), *(m.span() for m in _WHOLE.finditer(text))] if text else []
+        if more:
+            merged: list[tuple[int, int]] = []
+            for a, b in sorted(out[k] + more):
+                if merged and a < merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                else:
+                    merged.append((a, b))
+            out[k] = merged
     return out
 
 
@@ -263,7 +352,7 @@ def judge(texts: list[bytes], paths: list[str], forest: Forest) -> list[list[tup
     for text, path, own in zip(texts, paths, spans):
         for a, b in own:
             around = text[max(0, a - AROUND) : a].decode(errors="ignore"), text[b : b + AROUND].decode(errors="ignore")
-            rows.append(features(text[a:b].decode(), *around, path))
+            rows.append(features(text[a:b].decode(errors="replace"), *around, path))
     scores = iter(forest.score(np.array(rows)).round(6).tolist() if rows else [])
     return [[(a, b, next(scores)) for a, b in own] for own in spans]
 
@@ -278,7 +367,10 @@ _FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.St
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = None, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_candidates and secrets: [start, end) in characters and the score of each candidate at the threshold or more.
 
-    Whole texts are searched. Null and empty texts have none; repeated rows get equal results; an empty
+    Whole texts are searched. Candidates are runs of at least ``SHORTEST`` letters, digits and ``_-+/``
+    with a digit, mixed case or a known prefix; values after a name like password, token or key and
+    ``=`` or ``:``, of any length and signs; signed tokens; private key blocks. The forest decides which
+    are secrets; equal candidates may score apart in other surroundings. Null and empty texts have none; repeated rows get equal results; an empty
     table gives an empty one; columns named as an output give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest or train())
@@ -289,8 +381,11 @@ def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = None, f
             for batch in slices(whole, text_col):
                 texts = texts_of(batch, text_col)
                 found = judge(texts, _paths(batch, path_col), shared.value)
-                chars = lambda t, at: len(t[:at].decode(errors="ignore"))
-                rows = [[{"start": chars(t, a), "end": chars(t, b), "score": s} for a, b, s in own if s >= threshold] for t, own in zip(texts, found)]
+                rows = []
+                for text, own in zip(texts, found):
+                    own = [f for f in own if f[2] >= threshold]
+                    chars = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))) if own else []
+                    rows.append([{"start": int(chars[a]), "end": int(chars[b]), "score": s} for a, b, s in own])
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
                 yield put(batch, n_candidates=pa.array([len(f) for f in found], pa.int64()), secrets=pa.array(rows, kind))
 
