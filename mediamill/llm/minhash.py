@@ -16,6 +16,8 @@ from .common import LOWER, U, Forest, checkpointed, connected_components, id_fil
 COORDINATES, MISSED = 32, 1e-7
 #: Documents of a posting list that meet in one task; longer lists are cut into blocks, and blocks are paired.
 BLOCK = 256
+#: Centres that may be broadcast with the number of their groups.
+FEW = 1 << 17
 #: Rows of a star that meet its centre in one task.
 SALT_ROWS = 128
 
@@ -190,9 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = maybe_in(source, "doc_id", id_filter(involved, "doc_id")).select("text").mapInArrow(_sets("text", width), "node long, shingles binary")
         return members.join(sets, "node").groupBy(*key).applyInPandas(_link(percent, matches), "a long, b long")
 
-    # few centres have more members than one group takes
-    large = stars.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).alias("parts")).where("parts > 1")
-    salted = stars.join(large, "hub", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    # few centres have more members than one group takes: without a shuffle of all rows by centre while they are few
+    large = checkpointed(stars.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).alias("parts")).where("parts > 1"))
+    salted = stars.join(F.broadcast(large) if large.count() <= FEW else large, "hub", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
 
     def around(rows: DataFrame) -> DataFrame:
         return rows.select("node", F.lit(1).alias("side"), "hub", "salt").unionByName(rows.select(F.col("hub").alias("node"), F.lit(0).alias("side"), "hub", "salt").distinct())
