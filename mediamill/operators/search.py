@@ -83,17 +83,13 @@ def one_edit_pairs(words: DataFrame, column: str) -> DataFrame:
     return pairs.where(within_one_edit(F.col("a"), F.col("b")))
 
 
-def likeness(a: str, b: str) -> int:
-    """Of two singers: 2 the same key, 1 close, 0 unlike."""
-    x, y = sorted((names.key_text(a), names.key_text(b)), key=len)
-    if x == y:
-        return 2 if x else 0
-    if len(x) <= 2:
-        return 0
-    if x.isascii() and len(x) <= 4:
-        longer = b if names.key_text(b) == y else a
-        return int(x in names.fold_text(longer).split())
-    return int(x in y or one_edit(x, y))
+def likeness(a: Column, b: Column, folded_a: Column, folded_b: Column) -> Column:
+    """Of two singers by their keys and folded names: 2 the same key, 1 close (the shorter key in the longer or within one edit; of three or four ASCII letters a word of it; never shorter), 0 unlike."""
+    swap = F.length(a) > F.length(b)
+    x, y, long = (F.when(swap, p).otherwise(q) for p, q in ((b, a), (a, b), (folded_a, folded_b)))
+    word = F.array_contains(F.split(long, r"\s+"), x)
+    close = F.when(F.length(x) <= 2, False).when(x.rlike("^[ -~]{3,4}$"), word).otherwise(y.contains(x) | within_one_edit(x, y))
+    return F.when((a == b) & (a != ""), 2).when(close, 1).otherwise(0)
 
 
 #: Characters of a key's beginning by which longer keys that contain it are found.
@@ -117,70 +113,78 @@ def _begin(key: Column) -> Column:
 
 
 def _like_titles(wanted: DataFrame, hits: DataFrame) -> DataFrame:
-    """Of distinct titles (key, words) and (hit_key, hit_words) the pairs with a word in common of which one is in the other or within one edit; same: equal keys."""
-    k, h = F.col("key"), F.col("hit_key")
-    own = wanted.select("key", "words").distinct().withColumn("post", F.explode(F.array_union(_begin(k), _left_out(k))))
-    other = hits.select("hit_key", "hit_words").distinct().withColumn("post", F.explode(F.array_union(_inside(h), _left_out(h))))
-    like = (k == h) | h.contains(k) | within_one_edit(k, h)
-    pairs = own.join(other, "post").where(like & F.arrays_overlap("words", "hit_words"))
-    return pairs.select("key", "words", "hit_key", "hit_words", (k == h).alias("same")).distinct()
+    """Of distinct titles (key, sorted) and (hit_key, hit_sorted) the pairs with equal keys (same) or whose sorted words are within one edit."""
+    k, h, w, v = (F.col(c) for c in ("key", "hit_key", "sorted", "hit_sorted"))
+    posts = lambda key, words: F.explode(F.array_append(_left_out(words), F.concat(F.lit("="), key)))
+    own = wanted.select(k, w).distinct().withColumn("post", posts(k, w))
+    other = hits.select(h, v).distinct().withColumn("post", posts(h, v))
+    pairs = own.join(other, "post").where((k == h) | within_one_edit(w, v))
+    return pairs.select(k, w, h, v, (k == h).alias("same")).distinct()
 
 
 def _like_singers(wanted: DataFrame, hits: DataFrame) -> DataFrame:
-    """Of distinct singers (artist) and (hit_artist) the pairs of a likeness above 0 (known)."""
-
-    @F.pandas_udf("array<string>")
-    def keys(artist: pd.Series) -> pd.Series:
-        return artist.map(lambda a: sorted({names.key_text(n) for n in names.artist_names(a)}))
+    """Of distinct singers (artist) and (hit_artist) the pairs of a likeness above 0 (known): the greatest of their names."""
 
-    @F.pandas_udf("int")
-    def known(artist: pd.Series, singer: pd.Series) -> pd.Series:
-        return pd.Series([max((likeness(p, q) for p in names.artist_names(a) for q in names.artist_names(b)), default=0) for a, b in zip(artist, singer)], dtype="int32")
+    def posted(df: DataFrame, c: str, f: str, k: str) -> DataFrame:
+        each = df.select(c).where(f"{c} <> ''").distinct().withColumn("one", F.explode(F.array_distinct(names.clean_artist(c))))
+        return each.withColumn(f, names.fold("one")).withColumn(k, names.squeezed(F.col(f))).drop("one").where(f"{k} <> ''")
 
-    posted = lambda df, c: df.select(c).where(f"{c} <> ''").distinct().withColumn("k", F.explode(keys(c))).where("k <> ''")
-    key = F.col("k")
-    a, b = posted(wanted, "artist"), posted(hits, "hit_artist")
-    up = a.select("artist", F.explode(F.array_union(_begin(key), _left_out(key))).alias("post")).join(b.select("hit_artist", F.explode(F.array_union(_inside(key), _left_out(key))).alias("post")), "post")
-    down = a.select("artist", F.explode(_inside(key)).alias("post")).join(b.select("hit_artist", F.explode(_begin(key)).alias("post")), "post")
-    met = up.unionByName(down).select("artist", "hit_artist").distinct()
-    return met.withColumn("known", known("artist", "hit_artist")).where("known > 0")
+    a, b = posted(wanted, "artist", "f", "k"), posted(hits, "hit_artist", "g", "h")
+    k, h = F.col("k"), F.col("h")
+    under = lambda df, *forms: df.withColumn("post", F.explode(F.array_distinct(F.concat(*forms))))
+    up = under(a, _begin(k), _left_out(k)).join(under(b, _inside(h), _left_out(h)), "post")
+    down = under(a, _inside(k)).join(under(b, _begin(h)), "post")
+    met = up.unionByName(down).drop("post").distinct()
+    return met.groupBy("artist", "hit_artist").agg(F.max(likeness(k, h, F.col("f"), F.col("g"))).alias("known")).where("known > 0")
 
 
 def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     """For each wanted song (id, title, artist, length) the best hit (hit_title, hit_artist, hit_length, timed_lines, ord).
 
-    Songs and hits need a word of their folded titles in common. A like singer allows 60 s between
-    the lengths, an unlike one 3 s, none known 10 s, and then titles must be equal. Points: title 2
+    A hit's title counts as ``clean_title`` gives it. A like singer allows 60 s between the lengths and a
+    close title: its words, in any order, within one edit. An unlike singer allows 3 s, none known 10 s, and then titles must be
+    equal. A song of length 0 matches any length; else hits without a length drop out. Points: title 2
     or 1, singer 0 to 2, closeness of length up to 1; ties by more timed lines, then the first hit.
+    Songs and hits without a letter in their title, songs without length and songs that nothing matches have no row.
 
-    Only distinct values meet: titles and singers by beginnings and left-out letters of their keys,
+    Only distinct values meet: titles by left-out letters of their words, singers also by beginnings of their keys,
     lengths in spans of time. Of hits that score alike for a song the best goes on, so rows of
     one title count no more than its distinct lengths. An unlike singer scores least whoever it is, so
     for equal titles singers need not meet: a hit whose singer is like scores more by the other way.
     """
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(names.fold(F.col(c)), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")))
-    song = ["key", "words", "artist", "length"]
-    w = wanted.select("id", names.key("title").alias("key"), words("title").alias("words"), F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("size(words) > 0 and length is not null and not isnan(length)")
-    h = hits.select(names.key("hit_title").alias("hit_key"), words("hit_title").alias("hit_words"), "hit_artist", F.col("hit_length").cast("double").alias("hit_length"), F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.struct("hit_title", "hit_artist", "ord").alias("hit"))
-    h = h.where("size(hit_words) > 0 and hit_length is not null and not isnan(hit_length)")
+    sorted_ = lambda c: F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(names.fold(c), r"[^\p{IsAlphabetic}\p{N}]+", " ")), " ")), "")
+    song = ["key", "sorted", "artist", "length"]
+    w = wanted.select("id", names.key("title").alias("key"), sorted_("title").alias("sorted"), F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("key <> '' and length is not null and not isnan(length)")
+    h = hits.select(names.clean_title("hit_title", "hit_artist")["name"].alias("name"), "hit_title", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), "timed_lines", "ord")
+    h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.struct("hit_title", "hit_artist", "ord").alias("hit")).where("hit_key <> ''")
     best = lambda df, *by: df.groupBy(*by).agg(F.max_by("hit", "rank").alias("hit"), F.max("rank").alias("rank"))
-    h = best(h, "hit_key", "hit_words", "hit_artist", "hit_length")
+    h = best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length")
     songs = w.select(*song).distinct()
     titles = _like_titles(w, h)
 
     def near(of: list[str], offers: DataFrame, most: int) -> DataFrame:
-        """Songs with the offers of the columns ``of`` whose lengths are at most ``allowed`` apart, itself at most ``most``."""
-        spans = songs.withColumn("span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("length") / most) + d)))
+        """Songs with the offers of the columns ``of`` whose lengths are at most ``allowed`` apart, itself at most ``most``; songs of length 0 with the best of all lengths."""
+        spans = songs.where("length <> 0").withColumn("span", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("length") / most) + d)))
         off = F.abs(F.col("length") - F.col("hit_length"))
         met = spans.join(offers.withColumn("span", F.floor(F.col("hit_length") / most)), [*of, "span"]).withColumn("off", off)
         allowed = F.lit(60) if most == 60 else F.when(F.col("artist") == "", 10).otherwise(3)
-        return met.where(F.col("off") <= allowed).select(*song, (F.col("base") + 1 - F.bround("off") / 60).alias("points"), "rank", "hit")
+        timed = met.where(F.col("off") <= allowed).select(*song, (F.col("base") + 1 - F.round("off") / 60).alias("points"), "rank", "hit")
+        any_length = songs.where("length = 0").join(best(offers, *of, "base"), of).select(*song, (F.col("base") + F.lit(1.0)).alias("points"), "rank", "hit")
+        return timed.unionByName(any_length)
 
     title = F.when(F.col("same"), 2).otherwise(1)
-    known = songs.select("key", "words", "artist").distinct().join(_like_singers(songs, h), "artist").join(titles, ["key", "words"]).join(h, ["hit_key", "hit_words", "hit_artist"])
-    known = best(known.withColumn("base", title + F.col("known")), "key", "words", "artist", "base", "hit_length")
-    unknown = best(titles.where("same").join(h, ["hit_key", "hit_words"]).withColumn("base", F.lit(2)), "key", "words", "base", "hit_length")
-    scored = near(["key", "words", "artist"], known, 60).unionByName(near(["key", "words"], unknown, 10))
+    known = songs.select("key", "sorted", "artist").distinct().join(_like_singers(songs, h), "artist").join(titles, ["key", "sorted"]).join(h, ["hit_key", "hit_sorted", "hit_artist"])
+    known = best(known.withColumn("base", title + F.col("known")), "key", "sorted", "artist", "base", "hit_length")
+    unknown = best(titles.where("same").join(h, ["hit_key", "hit_sorted"]).withColumn("base", F.lit(2)), "key", "sorted", "base", "hit_length")
+    scored = near(["key", "sorted", "artist"], known, 60).unionByName(near(["key", "sorted"], unknown, 10))
     found = scored.groupBy(*song).agg(F.max_by("hit", F.struct("points", "rank")).alias("hit"), F.max(F.struct("points", "rank")).alias("top"))
     rows = w.join(found, song)
     return rows.groupBy("id").agg(F.max_by("hit", "top").alias("hit"), F.round(F.max("top.points"), 6).alias("points")).select("id", "hit.hit_title", "hit.hit_artist", "hit.ord", "points")
+
+
+def best_synced(wanted: DataFrame, hits: DataFrame, lyrics: str = "lyrics") -> DataFrame:
+    """``best_match`` among the hits whose lyrics have a time stamp, with their timed lines counted; the match comes with its lyrics."""
+    lines = F.split(lyrics, "\r?\n")
+    timed = F.size(F.filter(lines, names.is_synced))
+    synced = hits.where(names.is_synced(F.col(lyrics))).withColumn("timed_lines", timed)
+    return best_match(wanted, synced).join(synced.select("ord", lyrics), "ord")

@@ -137,7 +137,8 @@ def q_clean_title(t: Tables) -> DataFrame:
 @query()
 def q_guesses(t: Tables) -> DataFrame:
     title = F.concat("p_brand", F.lit(" - "), "p_name", F.lit(" [HD]"))
-    return t.part.select(F.col("p_partkey").alias("id"), F.posexplode(names.name_guesses(title, F.lit("Some Channel - Topic"))).alias("ord", "g")).select("id", "ord", F.col("g.title").alias("title"), F.col("g.artist").alias("artist"))
+    uploads = t.part.select(F.col("p_partkey").alias("id"), title.alias("title"), F.lit("Some Channel - Topic").alias("channel"))
+    return names.name_guesses(uploads, "title", "channel").select("id", F.posexplode("guesses").alias("ord", "g")).select("id", "ord", F.col("g.title").alias("title"), F.col("g.artist").alias("artist"))
 
 
 @query()
