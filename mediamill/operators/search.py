@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
 from ..functions.columns import within_one_edit
+from .lineage import kept
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -158,9 +159,9 @@ def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     h = hits.select(names.clean_title("hit_title", "hit_artist")["name"].alias("name"), "hit_title", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), "timed_lines", "ord")
     h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.struct("hit_title", "hit_artist", "ord").alias("hit")).where("hit_key <> ''")
     best = lambda df, *by: df.groupBy(*by).agg(F.max_by("hit", "rank").alias("hit"), F.max("rank").alias("rank"))
-    h = best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length")
+    w, h = kept(w), kept(best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length"))
     songs = w.select(*song).distinct()
-    titles = _like_titles(w, h)
+    titles = kept(_like_titles(w, h))
 
     def near(of: list[str], offers: DataFrame, most: int) -> DataFrame:
         """Songs with the offers of the columns ``of`` whose lengths are at most ``allowed`` apart, itself at most ``most``; songs of length 0 with the best of all lengths."""
@@ -173,7 +174,7 @@ def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
         return timed.unionByName(any_length)
 
     title = F.when(F.col("same"), 2).otherwise(1)
-    known = songs.select("key", "sorted", "artist").distinct().join(_like_singers(songs, h), "artist").join(titles, ["key", "sorted"]).join(h, ["hit_key", "hit_sorted", "hit_artist"])
+    known = songs.select("key", "sorted", "artist").distinct().join(kept(_like_singers(songs, h)), "artist").join(titles, ["key", "sorted"]).join(h, ["hit_key", "hit_sorted", "hit_artist"])
     known = best(known.withColumn("base", title + F.col("known")), "key", "sorted", "artist", "base", "hit_length")
     unknown = best(titles.where("same").join(h, ["hit_key", "hit_sorted"]).withColumn("base", F.lit(2)), "key", "sorted", "base", "hit_length")
     scored = near(["key", "sorted", "artist"], known, 60).unionByName(near(["key", "sorted"], unknown, 10))
