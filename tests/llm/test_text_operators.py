@@ -5,6 +5,7 @@ import functools
 import pickle
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -207,6 +208,26 @@ def test_licenses(spark, odd, none):
     assert len(got) == 6 and licenses.scan(none).count() == 0 and licenses.scan(odd).count() == len(ODD)
 
 
+def test_wrapped_and_titled_licenses(spark):
+    """Each known text, wrapped at several widths, with and without titles and owners, is the same."""
+    rows, want = [], []
+    for ident, text in licenses.KNOWN:
+        for width in (30, 47, 61, 76, 10_000):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(part, width, break_on_hyphens=False)) for part in text.split("\n\n"))
+            forms = [wrapped, wrapped.upper(), wrapped.replace(" ", "  ")]
+            if len(text) > 300:
+                body = wrapped.split("\n\n", 1)[1] if ident in ("MIT", "ISC") else wrapped
+                forms += [f"The {ident} License ({ident})\n\nCopyright (c) 2024, Jane Doe. All rights reserved.\n\n{body}" if ident in ("MIT", "ISC") else f"Copyright Jane Doe\n{wrapped}", f"© 2019-2024 Somebody\n{body}"]
+            for form in forms:
+                want.append(ident)
+                rows.append((len(rows), form))
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, r[1][:80]) for i, r in zip(want, rows) if got[r[0]] != i] == []
+    other = spark.createDataFrame([("Own-1", "ok go")], "license_id string, text string")
+    found = licenses.scan(spark.createDataFrame([(1, "OK, go!"), (2, "x\nOk go"), (3, rows[0][1])], "doc_id long, text string"), known=other).collect()
+    assert sorted((r.doc_id, r.license_id, r.notices) for r in found) == [(1, "Own-1", ["Own-1"]), (2, None, ["Own-1"]), (3, None, [])]
+
+
 def test_secrets(spark, odd, none):
     forest = secrets.train()
     held = secrets.labelled_findings(600, 99)
