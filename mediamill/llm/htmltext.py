@@ -224,6 +224,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
 
     def prose() -> str:
         text = " ".join(sentence() for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14))))
+        if r.random() < 0.08:
+            text = text.replace(" ", r.choice((" * ", "# ", "$ ", " 12 ", "!! ", ", "))) + r.choice(("", "&&", "***"))
         return f"<b>{text}</b>" if r.random() < 0.1 else text.replace(" ", ' <a href="#">', 1).replace(".", "</a>.", 1) if r.random() < 0.15 and " " in text and "." in text else text
 
     def attrs(*choices: str) -> str:
@@ -299,6 +301,14 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
             parts += footer()
         page = "".join(s for s, _ in parts)
         pages.append((f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style></head><body>{page}</body></html>", [y for _, y in parts if y >= 0]))
+    for _ in range(count // 8):  # pages of few blocks, of which all or most are the text
+        inside = [(f"<{t}>{prose()}{r.choice((f'</{t}>', f'</{t}>', '<br>' if t == 'p' else f'</{t}>'))}", 1) for t in r.choices(("p", "p", "p", "h1", "blockquote", "div"), k=r.choice((1, 1, 1, 2, 3, 8)))]
+        if r.random() < 0.15:
+            inside = [(f"{sentence()}<br>{sentence()}", 1)]
+        parts = box(*r.choice((("article", ""), ("article", ""), ("main", ""), ("div", ""), ("section", ""), ("div", ' class="content"'))), inside) if r.random() < 0.75 else inside
+        parts = [*(nav() if r.random() < 0.2 else []), *parts, *(footer() if r.random() < 0.2 else [])]
+        page = "".join(s for s, _ in parts)
+        pages.append((page if r.random() < 0.5 else f"<html><body>{page}</body></html>", [y for _, y in parts if y >= 0]))
     return pages
 
 

@@ -201,3 +201,30 @@ def test_custom_elements_self_closing_and_open_heads():
     assert texts("<html><head><title>T</title><meta charset=utf-8><p>Body text.</p><p>More.</p>") == ["Body text.", "More."]
     assert texts("<head><title>T</title><style>p{}</style>Plain text <b>goes on</b>.") == ["Plain text goes on."]
     assert texts("<head><title>T</title></head><body><p>Text.</p></body>") == ["Text."]
+
+
+def test_pages_of_few_blocks():
+    """All text of a small page is its main text; menus and footers alone are none."""
+    field = htmltext.train()
+    pages = {
+        "<article><p>The text goes on and on here.</p></article>": "The text goes on and on here.",
+        "<main><p>One.</p></main>": "One.",
+        "<body><p>One short block.</p></body>": "One short block.",
+        "<article>Short line<br>and another</article>": "Short line and another",
+        '<article><svg class="i"/><p>Body text.</p></article>': "Body text.",
+        "<html><head><title>x</title><p>Text in an open head.</p></html>": "Text in an open head.",
+        '<nav><a href="/x">Home</a></nav>': "",
+        "<footer>&copy; Someone. All rights.</footer>": "",
+        "": "",
+    }
+    assert {p: htmltext.main_text(p, field) for p in pages} == pages
+
+
+def test_extraction_of_whole_tables():
+    """On the driver's pages the main text is the blocks inside the article, all and only they."""
+    if not os.path.exists("/root/testdata/sf0.01/pages.parquet"):
+        pytest.skip("no tables")
+    field = htmltext.train()
+    for page in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+        inside = [b.text for b in htmltext.leaf_blocks(page) if "article" in b.path]
+        assert htmltext.main_text(page, field) == "\n".join(inside)
