@@ -24,8 +24,8 @@ def stamp_ms(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case runs of letters and numbers of any script."""
+    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import ordered_fold
+
 
 @dataclass
 class Queue:
@@ -55,16 +57,17 @@ class Queue:
 def fold(commands: DataFrame) -> DataFrame:
     """The last state of each session: session, tracks, current (null when ended), length.
 
-    ``commands``: session, seq, op, track, key, to, delta. A session is one person's evening, so its
-    commands fit one task; sessions spread over all.
+    ``commands``: session, seq, op, track, key, to, delta. A task holds the queue of one session, not its commands.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = Queue()
-        for row in pdf.sort_values("seq").itertuples():
+    def step(pdf: pd.DataFrame, q: Queue) -> tuple[None, Queue]:
+        for row in pdf.itertuples():
             value = lambda x: None if pd.isna(x) else int(x)
             q.apply(row.op, value(row.track), value(row.key), value(row.to), value(row.delta))
+        return None, q
+
+    def last(session: int, q: Queue) -> pd.DataFrame:
         now = None if q.ended else q.entries[q.current][1]
-        return pd.DataFrame({"session": [pdf.session.iloc[0]], "tracks": [",".join(str(t) for _, t in q.entries)], "current": pd.Series([now], dtype="Int64"), "length": [len(q.entries)]})
+        return pd.DataFrame({"session": [session], "tracks": [",".join(str(t) for _, t in q.entries)], "current": pd.Series([now], dtype="Int64"), "length": [len(q.entries)]})
 
-    return commands.groupBy("session").applyInPandas(run, "session long, tracks string, current long, length long")
+    return ordered_fold(commands, "session", ["seq"], Queue, step, "session long, tracks string, current long, length long", last)

@@ -204,10 +204,10 @@ def q_union_rank(t: Tables) -> DataFrame:
     return out
 
 
-@query("SELECT DISTINCT p_name AS name FROM part WHERE p_brand = 'Brand#1' EXCEPT SELECT p_name FROM part WHERE p_brand = 'Brand#2'")
+@query("SELECT DISTINCT p_brand AS brand, p_name AS name FROM part WHERE p_size > 25 EXCEPT SELECT p_brand, p_name FROM part WHERE p_size <= 25")
 def q_minus(t: Tables) -> DataFrame:
-    name = lambda b: t.part.where(F.col("p_brand") == b).select(F.col("p_name").alias("name"))
-    return name("Brand#1").subtract(name("Brand#2"))
+    names = lambda large: t.part.where((F.col("p_size") > 25) == large).select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"))
+    return names(True).subtract(names(False))
 
 
 @query(
@@ -219,19 +219,22 @@ def q_contains(t: Tables) -> DataFrame:
     return sets("p_size > 40", "a").join(sets("p_size <= 40", "b"), "brand").select("brand", (F.size(F.array_except("a", "b")) == 0).alias("covered"))
 
 
-@query("SELECT coalesce(a.p_name, b.p_name) AS name, CASE WHEN b.p_name IS NULL THEN 'missing' WHEN a.p_name IS NULL THEN 'extra' END AS report FROM (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#3') a FULL JOIN (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#4') b USING (p_name) WHERE a.p_name IS NULL OR b.p_name IS NULL")
+@query(
+    """SELECT brand, name, CASE WHEN NOT in_b THEN 'missing' WHEN NOT in_a THEN 'extra' ELSE 'both' END AS report FROM
+    (SELECT p_brand AS brand, p_name AS name, bool_or(p_size > 25) AS in_a, bool_or(p_size <= 25) AS in_b FROM part GROUP BY 1, 2)"""
+)
 def q_key_sets(t: Tables) -> DataFrame:
-    side = lambda b, flag: t.part.where(F.col("p_brand") == b).select(F.col("p_name").alias("name")).distinct().withColumn(flag, F.lit(True))
-    both = side("Brand#3", "a").join(side("Brand#4", "b"), "name", "full_outer")
-    return both.where("a is null or b is null").select("name", F.when(F.col("b").isNull(), "missing").otherwise("extra").alias("report"))
+    side = lambda large, flag: t.part.where((F.col("p_size") > 25) == large).select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")).distinct().withColumn(flag, F.lit(True))
+    both = side(True, "a").join(side(False, "b"), ["brand", "name"], "full_outer")
+    return both.select("brand", "name", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("both").alias("report"))
 
 
-@query("SELECT p_partkey AS id, lower(p_name) AS sort_title, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_name), p_partkey) AS place FROM part QUALIFY place <= 20")
+@query("SELECT p_partkey AS id, lower(p_name) AS sort_title, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_name), p_partkey) AS place FROM part")
 def q_title_sort(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("artist").orderBy(F.lower("title"), "id"))
-    return tracks(t).select("id", F.lower("title").alias("sort_title"), place.cast("long").alias("place")).where("place <= 20")
+    return tracks(t).select("id", F.lower("title").alias("sort_title"), place.cast("long").alias("place"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type IN ('click', 'view')")

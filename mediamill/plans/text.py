@@ -9,9 +9,9 @@ from ..operators import search
 from .registry import Tables, query
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM documents")
 def q_words(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", F.size(x.words("text")).cast("long").alias("n_words"))
+    return t.documents.select("doc_id", F.size(x.words("text")).cast("long").alias("n_words"))
 
 
 @query("SELECT page_id, length(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) AS n_chars FROM pages")
@@ -37,12 +37,11 @@ def q_url_canonical(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')) WHERE length(word) BETWEEN 5 AND 8)
-    SELECT a.word AS a, b.word AS b FROM w a JOIN w b ON a.word < b.word AND damerau_levenshtein(a.word, b.word) <= 1""".replace("\\\\", "\\")
+    """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE word <> '')
+    SELECT a.word AS a, b.word AS b FROM w a JOIN w b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) <= 1"""
 )
 def q_osa_pairs(t: Tables) -> DataFrame:
-    ascii_only = t.benchmark.where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return search.one_edit_pairs(ascii_only.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) between 5 and 8").distinct(), "word")
+    return search.one_edit_pairs(t.benchmark.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").distinct(), "word")
 
 
 @query("SELECT p_partkey AS id, p_name AS title FROM part WHERE list_bool_and([contains(lower(p_name), q) for q in ['ri', 'sm']]) ORDER BY id LIMIT 20")
@@ -81,12 +80,12 @@ def q_is_synced(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS parts FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, parts, greatest(least(30000 // greatest(len(parts), 1), 600), 1) AS slot FROM w)
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS parts FROM documents), s AS (SELECT doc_id, parts, greatest(least(30000 // greatest(len(parts), 1), 600), 1) AS slot FROM w)
     SELECT doc_id, CAST(i - 1 AS BIGINT) AS i, parts[i] AS word, 1000 + (i - 1) * slot AS start_ms, 1000 + i * slot AS end_ms FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM s)""".replace("\\\\", "\\")
 )
 def q_spread_words(t: Tables) -> DataFrame:
     slots = x.spread_words(F.col("text"), F.lit(1000).cast("long"), F.lit(31000).cast("long"))
-    rows = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(slots).alias("i", "w"))
+    rows = t.documents.select("doc_id", F.posexplode(slots).alias("i", "w"))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.col("w.text").alias("word"), F.col("w.start_ms").alias("start_ms"), F.col("w.end_ms").alias("end_ms"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import ordered_fold
+
 #: Milliseconds: least and largest wanted delay, its steps up and down, how long a steady stream takes to step down, slack, most held.
 LEAST, MOST, UP, DOWN, STEADY, SLACK, HELD = 20.0, 60.0, 10.0, 2.0, 10_000.0, 30.0, 200.0
 LEVELS = "phone string, seq long, arrive_ms double, fill_ms double, target_ms double, playing boolean, underruns long"
@@ -54,7 +56,7 @@ def _fold(pdf: pd.DataFrame, state: Delay) -> pd.DataFrame:
 
 def delays(frames: DataFrame) -> DataFrame:
     """The buffer after each frame (phone, seq, arrive_ms, length_ms), in batch."""
-    return frames.groupBy("phone").applyInPandas(lambda pdf: _fold(pdf, Delay()), LEVELS)
+    return ordered_fold(frames, "phone", ["arrive_ms", "seq"], Delay, lambda pdf, state: (_fold(pdf, state), state), LEVELS)
 
 
 def stream_delays(frames: DataFrame) -> DataFrame:

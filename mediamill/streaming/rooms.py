@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import ordered_fold
+
 #: Wrong codes that close the door, for how long; and how long a guest's place is kept.
 WRONG, CLOSED_MS, KEPT_MS = 5, 10_000, 120_000
 ADMISSION = "user_id long, event_id long, now_ms long, verdict string"
@@ -37,7 +39,7 @@ def _fold(pdf: pd.DataFrame, state: tuple[int, int, int]) -> tuple[pd.DataFrame,
 
 def admissions(joins: DataFrame) -> DataFrame:
     """The verdict on each knock (user_id, event_id, now_ms, good_code), in batch."""
-    return joins.groupBy("user_id").applyInPandas(lambda pdf: _fold(pdf, (0, 0, -1))[0], ADMISSION)
+    return ordered_fold(joins, "user_id", ["now_ms", "event_id"], lambda: (0, 0, -1), _fold, ADMISSION)
 
 
 def stream_admissions(joins: DataFrame) -> DataFrame:
