@@ -35,6 +35,10 @@ def fit_centres(vectors: np.ndarray, k: int) -> np.ndarray:
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
     v = np.stack([np.frombuffer(x, np.float64) for x in pdf.vector])
+    most = np.abs(v).max(axis=1, keepdims=True)
+    odd = ((most > 1e150) | (most < 1e-150)).ravel()  # their squares would overflow or vanish
+    if odd.any():
+        v[odd] /= most[odd]
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -108,7 +112,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     never all pairs.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and vectors without a
-    label, have no links and stay alone; vectors of different lengths never link. Ids are unique.
+    label, have no links and stay alone; vectors of different lengths never link; components of any finite
+    size count. Ids are unique: of a row that comes twice each copy counts as another vector, and rows of one id share what is
+    found for it. An empty table gives an empty result; other columns don't come along.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))

@@ -189,5 +189,11 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, cell):
     assert kept.columns == df.columns and kept.count() == sum(roots[i] == i for i, *_ in rows)
 
 
+def test_embeddings_of_extreme_sizes(spark):
+    rows = [(0, [1e200, 1e200], 1), (1, [2e200, 2e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.0], 1), (4, [1e200, -1e200], 1), (5, [1.0, 1.0], 2)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
