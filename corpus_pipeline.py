@@ -3,6 +3,10 @@
 Toxic documents go; of near duplicates one stays; benchmark passages are cut out of the texts; secrets
 give way to a mark; what is left is encoded (and decoded again). All but the last stage return the
 columns of ``documents``; n_chars follows the text.
+
+Null, empty and wordless texts have nothing toxic, no near duplicates, no passages, no secrets and no
+ids, so they pass through; repeated rows share their fate (a repeated row of a kept id stays); an
+empty table gives an empty one; columns that aren't those of ``documents`` come along until the last stage.
 """
 
 from __future__ import annotations
