@@ -43,3 +43,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert all("7602ad27cf5550de1c" not in (r.text or "") and r.n_chars == (None if r.text is None else len(r.text)) for r in docs.collect())
     rows = docs.collect()
     assert {10_000, 10_001, 10_002} <= {r.doc_id for r in rows} and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    texts = [None, "", " ", "a b c d e f g", "a b c d e f g", "x " * 20_000]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "e") for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", None, "e")], schema)
+    want = {"toxicity": [0, 1, 2, 3, 3, 4, 5], "minhash_near_dedup": [0, 1, 2, 3, 3, 5], "benchmark_decontamination": [0, 1, 2, 3, 3, 4, 5], "secret_scan": [0, 1, 2, 3, 3, 4, 5], "bpe_round_trip": [0, 1, 2, 3, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "bpe_round_trip":
+            assert out.columns == docs.columns
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == want[name]
+        assert stage(spark, docs.limit(0), SF).count() == 0
