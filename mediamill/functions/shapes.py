@@ -119,3 +119,24 @@ def nearest_semitone(hz: Column) -> Column:
 
 def previous_action(position_s: Column) -> Column:
     return F.when(position_s > 3, "restart").otherwise("previous")
+
+
+def digits(code: Column) -> Column:
+    """ASCII digits only."""
+    return F.regexp_replace(code, "[^0-9]", "")
+
+
+def short(text: Column, most: int = 40) -> Column:
+    """The first characters of a trimmed name."""
+    return F.substring(F.trim(text), 1, most)
+
+
+def display_host(host: Column) -> Column:
+    return F.regexp_replace(host, r"^((www|open)\.)+", "")
+
+
+def digest_of(manifest: Column, name: Column) -> Column:
+    """The digest on the first line of a checksum manifest that names the file (with or without the mark of binary mode); null if none does."""
+    parts = F.transform(F.split(manifest, "\r?\n"), lambda line: F.split(F.trim(line), r"\s+\*?", 2))
+    own = F.filter(parts, lambda p: (F.size(p) == 2) & (F.try_element_at(p, F.lit(2)) == name))
+    return F.try_element_at(F.try_element_at(own, F.lit(1)), F.lit(1))

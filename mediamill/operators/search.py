@@ -185,7 +185,5 @@ def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
 
 def best_synced(wanted: DataFrame, hits: DataFrame, lyrics: str = "lyrics") -> DataFrame:
     """``best_match`` among the hits whose lyrics have a time stamp, with their timed lines counted; the match comes with its lyrics."""
-    lines = F.split(lyrics, "\r?\n")
-    timed = F.size(F.filter(lines, names.is_synced))
-    synced = hits.where(names.is_synced(F.col(lyrics))).withColumn("timed_lines", timed)
+    synced = hits.where(names.is_synced(F.col(lyrics))).withColumn("timed_lines", names.timed_lines(F.col(lyrics)))
     return best_match(wanted, synced).join(synced.select("ord", lyrics), "ord")

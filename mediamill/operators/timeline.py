@@ -91,3 +91,8 @@ def phi_by_lag(first: DataFrame, second: DataFrame, low: int, high: int, least:
 def best_lag(scores: DataFrame, least: float) -> DataFrame:
     """The lag of the largest score, of equal ones the last, if it reaches ``least``."""
     return scores.agg(F.max_by("lag", F.struct("phi", "lag")).alias("lag"), F.max("phi").alias("phi")).where(F.col("phi") >= least)
+
+
+def with_next(rows: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:
+    """Each row with the value of the next one of its key."""
+    return rows.withColumn(name, F.lead(column).over(Window.partitionBy(key).orderBy(order)))

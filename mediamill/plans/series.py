@@ -211,3 +211,8 @@ def q_offset_rules(t: Tables) -> DataFrame:
     own = t.events.select("event_id", "event_type", F.lit(1.5).alias("lyric_offset"), F.lit(False).alias("manual"), "value")
     own = c.guarded_update(own, manual, lyric_offset=F.col("value"), manual=F.lit(True))
     return c.guarded_update(own, reset, lyric_offset=F.lit(0.0), manual=F.lit(False)).select("event_id", "lyric_offset", "manual")
+
+
+@query("SELECT event_id, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id FROM events")
+def q_next_in_queue(t: Tables) -> DataFrame:
+    return tl.with_next(t.events.select("event_id", "user_id"), "user_id", "event_id", "event_id", "next_id")

@@ -137,3 +137,20 @@ def q_keep_or_first(t: Tables) -> DataFrame:
 def q_ingest_once(t: Tables) -> DataFrame:
     known = t.customer.where("c_custkey % 2 = 0").select(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supplier")).alias("s_name"))
     return c.without_keys(t.supplier, known).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
+@query("SELECT c_custkey AS id, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, substr(c_name, 1, 12) AS short FROM customer")
+def q_digits_short(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), s.digits(F.col("c_name")).alias("digits"), s.short(F.concat(F.lit("  "), "c_name", F.lit(" ")), 12).alias("short"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1), '^((www|open)\.)+', '') AS host FROM pages")
+def q_display_host(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", s.display_host(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)).alias("host"))
+
+
+@query("SELECT l_orderkey AS id, max(CASE WHEN l_linenumber = 2 THEN md5(CAST(l_linenumber AS VARCHAR)) END) AS digest FROM lineitem GROUP BY 1")
+def q_manifest_digest(t: Tables) -> DataFrame:
+    line = lambda n: F.concat(F.md5(n.cast("string").cast("binary")), F.lit("  file "), n.cast("string"))
+    manifests = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), line), "\n").alias("manifest"))
+    return manifests.select("id", s.digest_of(F.col("manifest"), F.lit("file 2")).alias("digest"))

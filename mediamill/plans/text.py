@@ -153,3 +153,9 @@ def q_lrc_lines(t: Tables) -> DataFrame:
 
     stamped = F.concat(F.lit("[ar:x]\n[00:01.50][00:20.123]"), F.regexp_replace("text", "\n", "\n[00:10.00]"))
     return lyrics.parse_lrc(t.documents.select(F.col("doc_id").alias("track_id"), stamped.alias("text"), F.lit(40000).cast("long").alias("duration_ms")))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_timed FROM documents")
+def q_timed_lines(t: Tables) -> DataFrame:
+    stamped = F.concat(F.lit("[ar:x]\n[00:01.50]"), F.regexp_replace("text", "\n", "\n [00:10.00]"))
+    return t.documents.select("doc_id", names.timed_lines(stamped).cast("long").alias("n_timed"))
