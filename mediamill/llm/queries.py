@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversations, decontam, embeddings, htmltext, langid, licenses, minhash, secrets, tokencounts, toxicity, warc
+from . import bpe, conversations, decontam, divergence, embeddings, htmltext, langid, licenses, minhash, secrets, tokencounts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", hits.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
 
@@ -84,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.ORACLE, "op5_license_scan": licenses.oracle(), "op12_conversation_repair": conversations.ORACLE}
+    return {"op1_warc_revisits": warc.ORACLE, "op5_license_scan": licenses.oracle(), "op11_source_divergence": divergence.ORACLE, "op12_conversation_repair": conversations.ORACLE}

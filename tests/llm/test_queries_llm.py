@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 
+import duckdb
 import pandas as pd
 import pytest
 from tokenizers import Tokenizer
@@ -27,6 +28,9 @@ SCHEMAS = {
     "op8_html_extraction": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op9_secret_scan": {"doc_id": "bigint", "n_candidates": "bigint", "n_secrets": "bigint", "spans": "string", "top_score": "double"},
     "op10_benchmark_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op11_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op13_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
 }
 
 
@@ -56,7 +60,9 @@ def test_all_are_registered():
 def test_columns_types_and_rows(results, docs, name):
     types, rows = results(name)
     assert types == SCHEMAS[name]
-    if name != "op1_warc_revisits":
+    if name == "op12_conversation_repair":
+        assert sorted(rows.conv_id) == sorted(set(pd.read_parquet(f"{DIR}/conversations.parquet").conv_id))
+    elif name not in ("op1_warc_revisits", "op11_source_divergence"):
         table, column = {"op3": ("embeddings", "vec_id"), "op8": ("pages", "page_id")}.get(name.split("_")[0], ("documents", "doc_id"))
         assert sorted(rows[column]) == sorted(pd.read_parquet(f"{DIR}/{table}.parquet")[column])
 
@@ -99,6 +105,26 @@ def test_windows_by_brute_force(results, docs):
         assert got[i] == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
 
 
+def test_token_counts(results, docs):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in results("op13_token_counts")[1].itertuples()}
+    for i, text in zip(docs.doc_id, docs.text):
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert got[i] == (len((text or "").encode()), n, n > 1024)
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_equals_its_sql(results, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+    rows, want = results(name)[1], con.sql(queries.oracle_sql()[name]).df()
+    assert sorted(rows.columns) == sorted(want.columns)
+    columns = sorted(rows.columns)
+    as_text = lambda df: sorted(map(tuple, df[columns].astype(object).where(df[columns].notna(), None).astype(str).values.tolist()))
+    assert as_text(rows) == as_text(want.astype(rows.dtypes.to_dict(), errors="ignore"))
+
+
 def test_spans_of_secrets(results, docs):
     texts = dict(zip(docs.doc_id, docs.text))
     for r in results("op9_secret_scan")[1].itertuples():
