@@ -78,16 +78,6 @@ def phi(n11: Column, n1x: Column, nx1: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide((n * n11 - n1x * nx1).cast("double"), spread), F.lit(0.0))
 
 
-def phi_by_lag(first: DataFrame, second: DataFrame, low: int, high: int, least: int) -> DataFrame:
-    """For each lag the phi correlation of first[i] with second[i + lag] (hop, on); 0 for fewer than ``least`` common hops."""
-    lagged = first.select("hop", F.col("on").alias("a"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag")).withColumn("at", F.col("hop") + F.col("lag"))
-    pairs = lagged.join(second.select(F.col("hop").alias("at"), F.col("on").alias("b")), "at")
-    one = lambda c: F.sum(c.cast("long"))
-    n = F.count("*")
-    value = phi(one(F.col("a") & F.col("b")), one(F.col("a")), one(F.col("b")), n)
-    return pairs.groupBy("lag").agg(F.round(F.when(n < least, 0.0).otherwise(value), 6).alias("phi"))
-
-
 def best_lag(scores: DataFrame, least: float) -> DataFrame:
     """The lag of the largest score, of equal ones the last, if it reaches ``least``."""
     return scores.agg(F.max_by("lag", F.struct("phi", "lag")).alias("lag"), F.max("phi").alias("phi")).where(F.col("phi") >= least)

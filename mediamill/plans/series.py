@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as x
-from ..operators import catalogue as c, timeline as tl
+from ..operators import alignment, catalogue as c, timeline as tl
 from .registry import Tables, query
 
 
@@ -81,12 +81,12 @@ _PHI = """WITH h AS (SELECT CAST((epoch_us(ts) // 1000000 - 1704067200) // 3600
 
 @query(_PHI + " SELECT lag, phi FROM p")
 def q_phi_by_lag(t: Tables) -> DataFrame:
-    return tl.phi_by_lag(_hours(t, "click"), _hours(t, "view"), -12, 12, 100)
+    return alignment.phi_at_lags(_hours(t, "click"), _hours(t, "view"), -12, 12, 100)
 
 
 @query(_PHI + " SELECT lag, phi FROM p ORDER BY phi DESC, lag DESC LIMIT 1")
 def q_best_lag(t: Tables) -> DataFrame:
-    return tl.best_lag(tl.phi_by_lag(_hours(t, "click"), _hours(t, "view"), -12, 12, 100), -1.0)
+    return tl.best_lag(alignment.phi_at_lags(_hours(t, "click"), _hours(t, "view"), -12, 12, 100), -1.0)
 
 
 @query(

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mediamill.functions import columns as x, kernels
-from mediamill.operators import catalogue as c, lyrics, playqueue, signals, timeline as tl
+from mediamill.operators import alignment, catalogue as c, lyrics, playqueue, signals, timeline as tl
 from mediamill.streaming import rooms
 
 
@@ -60,10 +60,10 @@ def test_lag(spark):
     song = np.repeat(r.random(120) < 0.5, 9)
     a = spark.createDataFrame([(i, bool(v)) for i, v in enumerate(song)], "hop long, on boolean")
     b = spark.createDataFrame([(i + 17, bool(v)) for i, v in enumerate(song)], "hop long, on boolean")
-    best = tl.best_lag(tl.phi_by_lag(a, b, -30, 30, 200), 0.3).first()
+    best = tl.best_lag(alignment.phi_at_lags(a, b, -30, 30, 200), 0.3).first()
     assert (best.lag, best.phi) == (17, 1.0)
     flat = a.withColumn("on", F.lit(True))
-    assert tl.phi_by_lag(flat, b, 0, 0, 1).first().phi == 0.0
+    assert alignment.phi_at_lags(flat, b, 0, 0, 1).first().phi == 0.0
 
 
 def test_as_of(spark):
