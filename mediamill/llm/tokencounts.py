@@ -77,12 +77,86 @@ def stable(text: str, special: list[str], start: int, end: int) -> list[int]:
     return out
 
 
-def boundaries(path: str, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of tokens, and of each place where one begins behind the end of the one before: the place and the tokens before it."""
-    encoder, _ = _tokenizer(path)
-    spans = np.array(encoder.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-    first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] >= spans[:-1, 1]))) if len(spans) else np.zeros(0, np.int64)
-    return len(spans), spans[first, 0], first
+def _kinds() -> tuple[str, str, str, str]:
+    """White space, letters, digits and other signs as regular expression classes: characters below U+10000 that Unicode 3.2 knew and that are of one kind still."""
+    space = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    kind = lambda category: category if category in "LNZ" else "*"
+    of = []
+    for c in range(0xD800):
+        old, new = _old(chr(c)), unicodedata.category(chr(c))
+        of.append("Z" if c in space else kind(new[0]) if old != "Cn" and kind(old[0]) == kind(new[0]) != "Z" else "")
+    classes = []
+    for wanted in "ZLN*":
+        at = [c for c, k in enumerate(of) if k == wanted]
+        runs, begin = [], at[0]
+        for c, after in zip(at, [*at[1:], -1]):
+            if after != c + 1:
+                runs.append(f"\\U{begin:08x}-\\U{c:08x}")
+                begin = after
+        classes.append("".join(runs))
+    return tuple(classes)
+
+
+class Words:
+    """Tokens of texts by their words, each distinct word encoded once while it is remembered."""
+
+    REMEMBERED = 200_000
+
+    def __init__(self, path: str) -> None:
+        encoder, self.special = _tokenizer(path)
+        self.encoder = encoder
+        z, letters, digits, signs = _kinds()
+        self.plain = re.compile(f"[{z}{letters}{digits}{signs}]*").fullmatch
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[{signs}]+|[{z}]+(?![{letters}{digits}{signs}])|[{z}]+").findall
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+
+        class Known(dict):
+            def __missing__(known, word: str) -> int:  # noqa: N805
+                known[word] = n = len(encoder.encode(word, add_special_tokens=False).ids)
+                return n
+
+        self.known = Known()
+
+    def cut(self, text: str) -> list[str] | None:
+        """The words of a text, special strings included; None if it holds characters whose kind the tokenizer might know otherwise."""
+        if not self.plain(text):
+            return None
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        if not any(s in text for s in self.special):
+            return self.words(text)
+        out: list[str] = []
+        for part in self.split(text):
+            out += [part] if part in self.special else self.words(part)
+        return out
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts: the sum over their words; texts of uncommon characters go to the library as they are."""
+        cut = [self.cut(t) for t in texts]
+        rest = [k for k, words in enumerate(cut) if words is None]
+        out = [0 if words is None else sum(map(self.known.__getitem__, words)) for words in cut]
+        for k, found in zip(rest, self.encoder.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = len(found.ids)
+        return out
+
+    def boundaries(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """Number of tokens, and of each place where a word (or, of uncommon texts, a token) begins: the place and the tokens before it."""
+        words = self.cut(text)
+        if words is not None:
+            before = np.cumsum([0, *map(self.known.__getitem__, words)])
+            return int(before[-1]), np.cumsum([0, *map(len, words)])[:-1], before[:-1]
+        spans = np.array(self.encoder.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] >= spans[:-1, 1]))) if len(spans) else np.zeros(0, np.int64)
+        return len(spans), spans[first, 0], first
+
+
+_words: dict[str, Words] = {}
+
+
+def _worker(path: str) -> Words:
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
 
 
 def _cut(chunk: int, overlap: int):
@@ -108,12 +182,13 @@ def _encoded(path: str, chunk: int, overlap: int):
     """For each chunk and each end of it that is a cut: stable token boundaries near the cut (from the cut on) and the tokens between; a whole document gives its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, special = _tokenizer(path)
+        words = _worker(path)
+        special = words.special
         for batch in batches:
             out: dict[str, list] = {"cut": [], "places": [], "before": []}
             take = []
             for row, (k, n, piece) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "n", "piece")))):
-                total, places, before = boundaries(path, piece)
+                total, places, before = words.boundaries(piece)
                 begin = max(0, k * chunk - overlap)
                 known = dict(zip(places.tolist(), before.tolist()))
                 for cut in ([k] if k else []) + ([k + 1] if k + 1 < n else []):
@@ -151,7 +226,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty texts have no bytes and no tokens. Each row counts for itself, repeated rows and ids too; a null id stays null. An
     empty table gives an empty one; other columns don't come along. ``path`` must be a file at the same place on every node.
 
-    Texts of at most ``chunk`` characters are encoded as they are. A longer one becomes chunks that overlap,
+    Words don't depend on each other, so each distinct one is encoded once while a worker remembers it; texts with characters that Unicode
+    3.2 didn't know go to the library whole. Texts of at most ``chunk`` characters are counted as they are. A longer one becomes chunks that overlap,
     dealt out over all tasks and encoded with offsets. Two neighbours are spliced at the place nearest to their cut that
     is stable (see ``stable``) and a boundary of both encodings. If a cut of a document has no such place, the
     document goes into another round with chunks and overlaps GROWTH times as large, until a chunk holds it
@@ -163,11 +239,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["id"].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tokenizer(path)
+        words = _worker(path)
         for one in batches:
             for batch in slices(one, "text"):
                 texts = batch.column(1).to_pylist()
-                counts = [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+                counts = words.count(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     done = rows.where(F.length("text") <= chunk).mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
