@@ -189,6 +189,49 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, cell):
     assert kept.columns == df.columns and kept.count() == sum(roots[i] == i for i, *_ in rows)
 
 
+@pytest.mark.parametrize("cell", [4, 256])
+def test_rows_of_one_id_count_for_themselves(spark, cell):
+    """Repeated ids with other vectors or labels, repeated rows, and one vector under several ids, against comparing all rows."""
+    r = np.random.default_rng(9)
+    base = r.normal(size=(12, 4))
+    rows = [(int(r.integers(0, 25)), (base[r.integers(0, 12)] + r.choice([0, 0.02, 0.6]) * r.normal(size=4)).tolist(), int(r.integers(0, 3))) for _ in range(70)]
+    rows += rows[:8] + [(1, [1.0, 0.0], 7), (1, [0.0, 1.0], 7), (2, [0.0, 1.0], 7), (3, [-0.0, 1.0], 7), (1, [0.0, 1.0], 8), (None, [0.0, 1.0], 7), (2, None, 7)]
+    df = spark.createDataFrame([(i, v, label, "x", 1) for i, v, label in rows], "vec_id long, embedding array<double>, label int, name string, _row int")
+    ok = [i is not None and v is not None for i, v, _ in rows]
+
+    def linked(a, b):
+        (_, v, x), (_, w, y) = rows[a], rows[b]
+        return ok[a] and ok[b] and x == y and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93
+
+    links = [[b for b in range(len(rows)) if b != a and linked(a, b)] for a in range(len(rows))]
+    want = []
+    for a, (i, v, label) in enumerate(rows):
+        seen, todo = {a}, [a]
+        while todo:
+            new = [b for b in links[todo.pop()] if b not in seen]
+            seen.update(new)
+            todo += new
+        least = min((rows[b][0] for b in seen if rows[b][0] is not None), default=None)
+        want.append((i, len(links[a]), least, None if i is None else i == least))
+    assert sorted(map(tuple, embeddings.near_duplicates(df, cell=cell).collect()), key=str) == sorted(want, key=str)
+    kept = embeddings.keep_one(df, cell=cell)
+    assert kept.columns == df.columns
+    stay = [(i, v, label) for (i, v, label), (_, _, _, k), good in zip(rows, want, ok) if k or not good]
+    assert sorted(((x.vec_id, x.embedding, x.label) for x in kept.collect()), key=str) == sorted(stay, key=str)
+
+
+def test_cells_that_tell_nothing_apart_become_one(spark):
+    """Vectors in no order at all: rows placed stay near their number."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist(), 1, 1) for k, v in enumerate(x)], "vec_id long, v array<double>, label long, n_copies int")
+    classes, _ = embeddings._classes(df.select("vec_id", "label", "v"))
+    centres = embeddings._centres(classes.withColumn("n", F.lit(900)), 16, 0.93)
+    placed = classes.mapInArrow(embeddings._assign(spark.sparkContext.broadcast(centres), 0.93), "name long, label long, dim long, n_copies long, vector binary, cell long, home boolean")
+    assert placed.count() <= 3 * 900
+
+
 def test_embeddings_of_extreme_sizes(spark):
     rows = [(0, [1e200, 1e200], 1), (1, [2e200, 2e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.0], 1), (4, [1e200, -1e200], 1), (5, [1.0, 1.0], 2)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
