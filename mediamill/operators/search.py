@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -139,7 +141,7 @@ def _like_singers(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     return met.groupBy("artist", "hit_artist").agg(F.max(likeness(k, h, F.col("f"), F.col("g"))).alias("known")).where("known > 0")
 
 
-def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+def best_match(wanted: DataFrame, hits: DataFrame, simplify: Callable[[Column | str], Column] | None = None) -> DataFrame:
     """For each wanted song (id, title, artist, length) the best hit (hit_title, hit_artist, hit_length, timed_lines, ord).
 
     A hit's title counts as ``clean_title`` gives it. A like singer allows 60 s between the lengths and a
@@ -152,12 +154,17 @@ def best_match(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     lengths in spans of time. Of hits that score alike for a song the best goes on, so rows of
     one title count no more than its distinct lengths. An unlike singer scores least whoever it is, so
     for equal titles singers need not meet: a hit whose singer is like scores more by the other way.
+    With ``simplify`` (see ``scripts.converter``) names are compared in one script, and hits come as they are.
     """
+    hits = hits.withColumn("_hit", F.struct("hit_title", "hit_artist", "ord"))
+    if simplify is not None:
+        wanted = wanted.withColumns({c: simplify(c) for c in ("title", "artist")})
+        hits = hits.withColumns({c: simplify(c) for c in ("hit_title", "hit_artist")})
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(names.fold(c), r"[^\p{IsAlphabetic}\p{N}]+", " ")), " ")), "")
     song = ["key", "sorted", "artist", "length"]
     w = wanted.select("id", names.key("title").alias("key"), sorted_("title").alias("sorted"), F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("key <> '' and length is not null and not isnan(length)")
-    h = hits.select(names.clean_title("hit_title", "hit_artist")["name"].alias("name"), "hit_title", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), "timed_lines", "ord")
-    h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.struct("hit_title", "hit_artist", "ord").alias("hit")).where("hit_key <> ''")
+    h = hits.select(names.clean_title("hit_title", "hit_artist")["name"].alias("name"), "_hit", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), "timed_lines", "ord")
+    h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.col("_hit").alias("hit")).where("hit_key <> ''")
     best = lambda df, *by: df.groupBy(*by).agg(F.max_by("hit", "rank").alias("hit"), F.max("rank").alias("rank"))
     w, h = kept(w), kept(best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length"))
     songs = w.select(*song).distinct()

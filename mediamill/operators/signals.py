@@ -29,9 +29,9 @@ def spectrum(frames: DataFrame, column: str, n_fft: int, hop: int) -> DataFrame:
 
 
 def segments(songs: DataFrame, length: int, margin: int) -> DataFrame:
-    """Overlapping segments of each song (audio_hash, samples): start, samples with ``margin`` on both sides, zeros outside."""
+    """Overlapping segments of each song (audio_hash, samples): start, samples with ``margin`` on both sides, zeros outside; of songs with an array ``starts`` only those."""
     n = F.size("samples")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(length))
+    starts = F.col("starts") if "starts" in songs.columns else F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(length))
     padded = F.concat(F.array_repeat(F.lit(0.0), margin), F.col("samples").cast("array<double>"), F.array_repeat(F.lit(0.0), margin + length))
     return songs.select("audio_hash", n.alias("n"), padded.alias("padded"), F.explode(starts).alias("start")).select("audio_hash", "n", "start", F.slice("padded", F.col("start") + 1, length + 2 * margin).alias("samples"))
 
@@ -49,8 +49,8 @@ def silence(spectrum_: np.ndarray) -> np.ndarray:
 def separate(songs: DataFrame, model: Callable[[np.ndarray], np.ndarray], length: int, n_fft: int, hop: int, compensate: float = 1.0) -> DataFrame:
     """Vocals by a model on the spectrum of each segment, cropped, and what is left: audio_hash, start, vocals, instrumental.
 
-    Segments are independent rows, so a long song is the work of many tasks and a resumed run only
-    reads the segments that are missing.
+    Segments are independent rows, so a long song is the work of many tasks; ``resume.separate_missing``
+    works on those that are missing.
     """
     margin = n_fft // 2
 
@@ -63,18 +63,22 @@ def separate(songs: DataFrame, model: Callable[[np.ndarray], np.ndarray], length
 
         return samples.map(one)
 
-    rows = segments(songs, length, margin).withColumn("vocals", vocals("samples"))
+    # said to vary, so that no later filter runs the model a second time
+    rows = segments(songs, length, margin).withColumn("vocals", vocals.asNondeterministic()("samples"))
     size = F.least(F.col("n") - F.col("start"), F.lit(length))
     mix = F.slice("samples", F.lit(margin + 1), size)
     return rows.select("audio_hash", "start", F.slice("vocals", F.lit(1), size).alias("vocals"), F.zip_with(mix, F.slice("vocals", F.lit(1), size), lambda a, b: a - b).alias("instrumental"))
 
 
 def regroup(pieces: DataFrame, key: str, start: str, samples: str, length: int) -> DataFrame:
-    """Pieces of any length as chunks of ``length`` samples by index; the last may be short."""
-    at = pieces.select(key, F.posexplode(samples).alias("i", "v"), F.col(start).alias("s"))
-    place = F.col("s") + F.col("i")
-    lists = at.groupBy(key, F.floor(place / length).alias("index")).agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "v"))).alias("all"))
-    return lists.select(key, "index", F.transform("all", lambda x: x.v).alias("samples"))
+    """Pieces of any length as chunks of ``length`` samples by index; the last may be short. Pieces are cut at the borders of chunks, not taken apart."""
+    s, n = F.col(start), F.size(samples)
+    at = pieces.where(n > 0).select(key, F.col(samples).alias("v"), s.alias("s"), F.explode(F.sequence(F.floor(s / length), F.floor((s + n - 1) / length))).alias("index"))
+    begin = F.greatest(F.col("index") * length - F.col("s"), F.lit(0))
+    end = F.least((F.col("index") + 1) * length - F.col("s"), F.size("v"))
+    part = F.struct((F.col("s") + begin).alias("p"), F.slice("v", (begin + 1).cast("int"), (end - begin).cast("int")).alias("v"))
+    lists = at.groupBy(key, "index").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return lists.select(key, "index", F.flatten(F.transform("parts", lambda x: x.v)).alias("samples"))
 
 
 def pitch_of(column: str, rate: float) -> Column:
