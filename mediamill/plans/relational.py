@@ -102,16 +102,16 @@ def q_first_occurrence(t: Tables) -> DataFrame:
     return c.distinct_by_first(tracks(t).select("title", "id", "artist"), F.lower("title"), "id")
 
 
-_OFFER = "SELECT s_suppkey AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier"
+_OFFER = "SELECT s_suppkey * 20 AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier"
 
 
 @query(
     f"""SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(o.c_acctbal, n.c_acctbal) AS c_acctbal
-    FROM (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) o FULL OUTER JOIN ({_OFFER}) n ON n.c_custkey = o.c_custkey"""
+    FROM customer o FULL OUTER JOIN ({_OFFER}) n ON n.c_custkey = o.c_custkey"""
 )
 def q_upsert(t: Tables) -> DataFrame:
-    new = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
-    return c.upsert(t.customer.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_acctbal"), new, ["c_custkey"], keep=["c_acctbal"])
+    new = t.supplier.select((F.col("s_suppkey") * 20).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return c.upsert(t.customer.select("c_custkey", "c_name", "c_acctbal"), new, ["c_custkey"], keep=["c_acctbal"])
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -120,12 +120,12 @@ def q_replace_latest(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0
-    UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE NOT (s_suppkey % 2 = 0 AND s_suppkey IN (SELECT c_custkey FROM customer))"""
+    """SELECT c_custkey AS id, c_name AS name FROM customer
+    UNION ALL SELECT s_suppkey * 20, s_name FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)"""
 )
 def q_insert_ignore(t: Tables) -> DataFrame:
-    old = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return c.insert_ignore(old, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"])
+    old = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return c.insert_ignore(old, t.supplier.select((F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("name")), ["id"])
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'renamed ' || c_name ELSE c_name END AS c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
@@ -170,14 +170,14 @@ def q_setters(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT 'lineitem.part' AS fk, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 0) ON p_partkey = l_partkey WHERE p_partkey IS NULL
+    """SELECT 'lineitem.part' AS fk, count(*) AS n FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + 10 WHERE p_partkey IS NULL
     UNION ALL SELECT 'lineitem.order', count(*) FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL
     UNION ALL SELECT 'orders.customer', count(*) FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL
     UNION ALL SELECT 'nation.region', count(*) FROM nation LEFT JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey IS NULL"""
 )
 def q_fk_check(t: Tables) -> DataFrame:
     checks = [
-        ("lineitem.part", t.lineitem, "l_partkey", t.part.where("p_partkey % 50 <> 0"), "p_partkey"),
+        ("lineitem.part", t.lineitem.withColumn("l_partkey", F.col("l_partkey") + 10), "l_partkey", t.part, "p_partkey"),
         ("lineitem.order", t.lineitem, "l_orderkey", t.orders, "o_orderkey"),
         ("orders.customer", t.orders, "o_custkey", t.customer, "c_custkey"),
         ("nation.region", t.nation, "n_regionkey", t.region, "r_regionkey"),
