@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -16,7 +17,8 @@ from .common import put, slices, with_fields
 
 #: HTML's elements by how they take part in text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script style noscript template iframe object svg math title".split()
+UNSEEN = "script style noscript template iframe textarea title".split()
+FOREIGN = {"svg", "math"}
 BREAKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
@@ -56,7 +58,11 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
-    state = {"linked": 0}
+    state = {"linked": 0, "foreign": False}
+
+    def foreign() -> int:
+        """Where an open drawing or formula begins; -1 outside."""
+        return next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), -1) if state["foreign"] else -1
 
     def flush() -> None:
         if parts:
@@ -68,7 +74,7 @@ def leaf_blocks(page: str) -> list[Block]:
         state["linked"] = 0
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and foreign() < 0:
             parts.append(html.unescape(raw) if "&" in raw else raw)
             if any(t == "a" for t, _ in stack[-4:]):
                 state["linked"] += len(raw)
@@ -83,6 +89,10 @@ def leaf_blocks(page: str) -> list[Block]:
         name = name.lower()
         if name == "head":
             continue
+        if name in FOREIGN:
+            state["foreign"] = True
+        elif name in BREAKS and not m["end"] and not m["end2"] and (k := foreign()) >= 0 and all(t != "foreignobject" for t, _ in stack[k:]):
+            del stack[k:]  # a text element ends an unclosed drawing, as in browsers
         if name in BREAKS:
             flush()
         elif name == "br":
@@ -165,7 +175,7 @@ class Field:
         return labels[::-1]
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.1, decay: float = 0.01) -> Field:
+def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 200, rate: float = 0.15, decay: float = 0.001) -> Field:
     """Maximum conditional likelihood by forward-backward sums over all pages at once (padded), with decay."""
     names = sorted({f for rows, _ in pages for row in rows for f in row})
     place = {f: i for i, f in enumerate(names)}
@@ -228,9 +238,18 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
             text = text.replace(" ", r.choice((" * ", "# ", "$ ", " 12 ", "!! ", ", "))) + r.choice(("", "&&", "***"))
         return f"<b>{text}</b>" if r.random() < 0.1 else text.replace(" ", ' <a href="#">', 1).replace(".", "</a>.", 1) if r.random() < 0.15 and " " in text and "." in text else text
 
-    def attrs(*choices: str) -> str:
+    def attrs(*choices: str, always: bool = False) -> str:
         name = r.choice(choices)
-        return f' {r.choice(("class", "id"))}="{name}"' if name and r.random() < 0.85 else ""
+        return f' {r.choice(("class", "id"))}="{name}"' if name and (always or r.random() < 0.85) else ""
+
+    def told(tag: str, *choices: str) -> tuple[str, str]:
+        """A part that isn't the text says so by its tag, or else by its name."""
+        return tag, attrs(*choices, always=True) if tag in ("div", "section") or r.random() < 0.5 else ""
+
+    def any_name() -> str:
+        """Of a container that says nothing about what is in it: none, or a word of layouts or of no meaning."""
+        name = r.choice(("", "", "app", "wrapper", "container", "col", "row", "page", "site", "inner", "outer", "layout", "grid", "box", words(1), words(1), f"{words(1)}-{words(1)}", f"col-md-{r.randint(1, 12)}"))
+        return f' {r.choice(("class", "id"))}="{name}"' if name else ""
 
     def links(n: int, tag: str = "li") -> list[tuple[str, int]]:
         return [(f'<{tag}><a href="/x">{words(r.randint(1, 4))}</a></{tag}>', 0) for _ in range(n)]
@@ -239,13 +258,13 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
         return [(f"<{tag}{name}>", -1), *inside, (f"</{tag}>", -1)]
 
     def nav() -> list:
-        return box(r.choice(("nav", "nav", "div")), attrs("menu", "nav", "navbar", "topnav", "breadcrumbs", "navigation"), box("ul", "", links(r.randint(2, 9))))
+        return box(*told(r.choice(("nav", "nav", "div")), "menu", "nav", "navbar", "topnav", "breadcrumbs", "navigation"), box("ul", "", links(r.randint(2, 9))))
 
     def advert() -> list:
-        return box(r.choice(("div", "div", "aside", "section")), attrs("ad", "ads", "advert", "banner", "sponsored", "promo", "advertisement"), [(sentence(9) if r.random() < 0.6 else f"<p>{sentence(9)}</p>", 0)])
+        return box(r.choice(("div", "div", "aside", "section")), attrs("ad", "ads", "advert", "banner", "sponsored", "promo", "advertisement", always=True), [(sentence(9) if r.random() < 0.6 else f"<p>{sentence(9)}</p>", 0)])
 
     def notice() -> list:
-        return box("div", attrs("cookie-notice", "cookies", "consent", "notice", "alert", "gdpr"), [(f"<p>{sentence()} {sentence()}</p>", 0), (f"<button>{words(2)}</button>", 0)])
+        return box("div", attrs("cookie-notice", "cookies", "consent", "notice", "alert", "gdpr", always=True), [(f"<p>{sentence()} {sentence()}</p>", 0), (f"<button>{words(2)}</button>", 0)])
 
     def form() -> list:
         return box("form", attrs("newsletter", "search", "signup", "subscribe", "login"), [(f"<label>{words(2)}</label>", 0), (f"<p>{sentence()}</p>", 0), (f"<button>{words(1)}</button>", 0)])
@@ -257,13 +276,13 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
         return box(r.choice(("section", "div", "ol")), f' {r.choice(("class", "id"))}="{r.choice(("comments", "comment-list", "discussion", "replies", "responses"))}"', [(f"<h2>{words(1)}</h2>", 0), *each])
 
     def aside() -> list:
-        return box(r.choice(("aside", "aside", "div")), attrs("sidebar", "side", "widget", "related", "share", "social"), [(f"<h3>{words(2)}</h3>", 0), *(box("ul", "", links(r.randint(1, 6))) if r.random() < 0.6 else [(f"<p>{sentence()} {sentence()}</p>", 0)])])
+        return box(*told(r.choice(("aside", "aside", "div")), "sidebar", "side", "widget", "related", "share", "social"), [(f"<h3>{words(2)}</h3>", 0), *(box("ul", "", links(r.randint(1, 6))) if r.random() < 0.6 else [(f"<p>{sentence()} {sentence()}</p>", 0)])])
 
     def header() -> list:
-        return box("header", attrs("header", "masthead", "top", ""), [(r.choice(("<div>%s</div>", "<h1>%s</h1>", "<p>%s</p>")) % words(r.randint(1, 4)), 0), *(nav() if r.random() < 0.4 else [])])
+        return box(*told("header", "header", "masthead", "top"), [(r.choice(("<div>%s</div>", "<h1>%s</h1>", "<p>%s</p>")) % words(r.randint(1, 4)), 0), *(nav() if r.random() < 0.4 else [])])
 
     def footer() -> list:
-        return box(r.choice(("footer", "footer", "div")), ' class="footer"' if r.random() < 0.4 else ' id="footer"', [(f"{r.choice(('&copy; ', '&copy; ', ''))}{words(3)}. {sentence(8)}", 0), *(links(r.randint(0, 4), "p"))])
+        return box(*told(r.choice(("footer", "footer", "div")), "footer", "footer", "site-footer", "bottom"), [(f"{r.choice(('&copy; ', '&copy; ', ''))}{words(3)}. {sentence(8)}", 0), *(links(r.randint(0, 4), "p"))])
 
     def article(rich: bool) -> list:
         inside: list = [(f"<h1>{words(r.randint(1, 12))}{r.choice(('', '.'))}</h1>", 1)] if r.random() < 0.9 else []
@@ -285,6 +304,10 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
                 inside += r.choice((advert, aside, form))()
         if rich and r.random() < 0.3:
             inside += r.choice((aside, comments, form))()
+        if r.random() < 0.5:  # the container has any name or none, or there is none
+            for _ in range(r.choice((0, 1, 1, 1, 2, 3))):
+                inside = box(*(("section", any_name()) if r.random() < 0.15 else ("div", any_name() if r.random() < 0.93 else ' role="main"')), inside)
+            return inside
         return box(*r.choice((("article", ""), ("article", ""), ("article", attrs("post", "story")), ("main", ""), ("div", ' class="content"'), ("div", ' class="article-body"'), ("div", ' id="main-content"'), ("div", ' class="post entry"'), ("section", ' class="story"'))), inside)
 
     pages = []
@@ -297,27 +320,39 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, list[int]
         for make in r.sample(after, r.randint(0, 3)):
             main = make() + main if make is aside and r.random() < 0.3 else main + make()
         parts += box("main", "", main) if r.random() < 0.15 else main
+        around = r.random()
+        if around < 0.15:
+            parts = box("div", any_name(), parts)
         if r.random() < 0.85:
             parts += footer()
+        if 0.15 <= around < 0.3:
+            parts = box("div", any_name(), parts)
         page = "".join(s for s, _ in parts)
         pages.append((f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style></head><body>{page}</body></html>", [y for _, y in parts if y >= 0]))
-    for _ in range(count // 8):  # pages of few blocks, of which all or most are the text
+    for _ in range(count // 2):  # pages of few blocks, of which all or most are the text
         inside = [(f"<{t}>{prose()}{r.choice((f'</{t}>', f'</{t}>', '<br>' if t == 'p' else f'</{t}>'))}", 1) for t in r.choices(("p", "p", "p", "h1", "blockquote", "div"), k=r.choice((1, 1, 1, 2, 3, 8)))]
         if r.random() < 0.15:
             inside = [(f"{sentence()}<br>{sentence()}", 1)]
-        parts = box(*r.choice((("article", ""), ("article", ""), ("main", ""), ("div", ""), ("section", ""), ("div", ' class="content"'))), inside) if r.random() < 0.75 else inside
-        parts = [*(nav() if r.random() < 0.2 else []), *parts, *(footer() if r.random() < 0.2 else [])]
+        parts = box(*r.choice((("article", ""), ("article", ""), ("main", ""), ("div", any_name()), ("div", any_name()), ("section", ""), ("div", ' class="content"'))), inside) if r.random() < 0.75 else inside
+        parts = [*(nav() if r.random() < 0.4 else []), *parts, *(aside() if r.random() < 0.2 else []), *(footer() if r.random() < 0.7 else [])]
         page = "".join(s for s, _ in parts)
         pages.append((page if r.random() < 0.5 else f"<html><body>{page}</body></html>", [y for _, y in parts if y >= 0]))
     return pages
 
 
 def train(pages: list[tuple[str, list[int]]] | None = None) -> Field:
-    """Fit on labelled pages: (html, a label for each leaf block); without any, on pages made by rule."""
-    rows = [(leaf_blocks(page), labels) for page, labels in pages or labelled_pages()]
+    """Fit on labelled pages: (html, a label for each leaf block); without any, on pages made by rule, once for each process."""
+    if not pages:
+        return _by_rule()
+    rows = [(leaf_blocks(page), labels) for page, labels in pages]
     return fit([(features(b), y) for b, y in rows if len(b) == len(y) and b])
 
 
+@functools.cache
+def _by_rule() -> Field:
+    return train(labelled_pages())
+
+
 def main_text(page: str, field: Field) -> str:
     blocks = leaf_blocks(page)
     return "\n".join([b.text for b, y in zip(blocks, field.decode(features(blocks))) if y])
