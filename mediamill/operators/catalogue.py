@@ -141,3 +141,33 @@ def prefix_length(chunks: DataFrame, key: str, index: str) -> DataFrame:
     by = Window.partitionBy(key).orderBy(index)
     ranked = chunks.select(key, index).distinct().withColumn("_n", F.row_number().over(by) - 1)
     return ranked.groupBy(key).agg(F.sum((F.col(index) == F.col("_n")).cast("long")).alias("contiguous"))
+
+
+class MissingError(LookupError):
+    """Keys that must be there and aren't."""
+
+
+def rows_of(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of some keys (all columns of ``keys``), which must all be there; MissingError names up to ten that aren't.
+
+    Keys are looked up by a semi join; Spark broadcasts them if they are few.
+    """
+    lacking = keys.distinct().join(df.select(*keys.columns), keys.columns, "left_anti").limit(10).collect()
+    if lacking:
+        raise MissingError(", ".join(str(tuple(r)) for r in lacking))
+    return df.join(keys, keys.columns, "left_semi")
+
+
+def finish(separations: DataFrame, done: DataFrame, now_ms: int) -> DataFrame:
+    """Separations (audio_hash, model_id, chunks_total, chunks_done, status, last_used_at) of which some are done: ready, all chunks, used now. Keys that aren't there are an error, as in ``rows_of``."""
+    keys = ["audio_hash", "model_id"]
+    rows_of(separations.select(*keys), done.select(*keys))
+    news = {"status": F.lit("ready"), "chunks_done": F.col("chunks_total"), "last_used_at": F.lit(now_ms).cast("long")}
+    marked = separations.join(done.select(*keys).distinct().withColumn("_done", F.lit(True)), keys, "left")
+    return marked.select(*[F.when(F.col("_done"), news[c]).otherwise(F.col(c)).alias(c) if c in news else F.col(c) for c in separations.columns])
+
+
+def may_start(tracks: DataFrame, queued: DataFrame, sources: DataFrame) -> DataFrame:
+    """Tracks (id) that may be added now: neither queued (track_id) nor with fetched audio in a source (track_id, audio_hash)."""
+    busy = queued.select("track_id").unionByName(sources.where("audio_hash is not null").select("track_id")).distinct()
+    return tracks.join(busy, F.col("id") == F.col("track_id"), "left_anti")

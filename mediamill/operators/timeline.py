@@ -86,3 +86,18 @@ def best_lag(scores: DataFrame, least: float) -> DataFrame:
 def with_next(rows: DataFrame, key: str, order: str, column: str, name: str) -> DataFrame:
     """Each row with the value of the next one of its key."""
     return rows.withColumn(name, F.lead(column).over(Window.partitionBy(key).orderBy(order)))
+
+
+def arrival_rate(reports: DataFrame, key: str, time: str, done: str, order: str) -> DataFrame:
+    """(key, rate): time per unit of progress from a key's reports; null before any progress.
+
+    It counts from the first report, or from the last one whose progress lay below all it had counted from: a run that starts over is timed anew.
+    """
+    by = Window.partitionBy(key).orderBy(time, order)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    # a report below every one before it begins anew; later ones are above it
+    fresh = F.coalesce(F.col(done) < F.min(done).over(before), F.lit(True))
+    marked = reports.withColumn("_start", F.when(fresh, F.struct(F.col(time).alias("t"), F.col(done).alias("n"))))
+    last = F.struct(F.col(time).alias("t"), F.col(order).alias("o"), F.col(done).alias("n"))
+    ends = marked.groupBy(key).agg(F.max_by("_start", F.when(F.col("_start").isNotNull(), F.struct(time, order))).alias("a"), F.max(last).alias("b"))
+    return ends.select(key, F.when(F.col("b.n") > F.col("a.n"), (F.col("b.t") - F.col("a.t")) / (F.col("b.n") - F.col("a.n"))).alias("rate"))
