@@ -105,14 +105,21 @@ def _left_out(key: Column) -> Column:
     return F.transform(F.array_union(F.array(key), forms), lambda f: F.concat(F.lit("-"), f))
 
 
-def _inside(key: Column) -> Column:
-    """What a key that is found inside this one may begin with, marked."""
-    starts = F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.concat(F.lit("+"), F.substring(key, i, n))))
-    return F.array_distinct(F.flatten(starts))
+#: Keys that count inside another name only as one of its words.
+_SHORT = "^[ -~]{3,4}$"
+
+
+def _inside(key: Column, folded: Column) -> Column:
+    """What a key that is found inside this name may begin with, marked; short ones by the name's words."""
+    starts = F.transform(F.sequence(F.lit(3), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, n)))
+    begun = F.transform(F.filter(F.flatten(starts), lambda g: (F.length(g) >= 3) & ~g.rlike(_SHORT)), lambda g: F.concat(F.lit("+"), g))
+    words = F.transform(F.filter(F.split(folded, r"\s+"), lambda w: w.rlike(_SHORT)), lambda w: F.concat(F.lit("#"), w))
+    return F.array_distinct(F.concat(begun, words))
 
 
 def _begin(key: Column) -> Column:
-    return F.array(F.concat(F.lit("+"), F.substring(key, 1, GRAM)))
+    """How a key is looked for inside others; keys of one or two letters never are."""
+    return F.when(F.length(key) <= 2, F.array().cast("array<string>")).when(key.rlike(_SHORT), F.array(F.concat(F.lit("#"), key))).otherwise(F.array(F.concat(F.lit("+"), F.substring(key, 1, GRAM))))
 
 
 def _like_titles(wanted: DataFrame, hits: DataFrame) -> DataFrame:
@@ -133,10 +140,10 @@ def _like_singers(wanted: DataFrame, hits: DataFrame) -> DataFrame:
         return each.withColumn(f, names.fold("one")).withColumn(k, names.squeezed(F.col(f))).drop("one").where(f"{k} <> ''")
 
     a, b = posted(wanted, "artist", "f", "k"), posted(hits, "hit_artist", "g", "h")
-    k, h = F.col("k"), F.col("h")
+    k, h, f, g = (F.col(c) for c in "khfg")
     under = lambda df, *forms: df.withColumn("post", F.explode(F.array_distinct(F.concat(*forms))))
-    up = under(a, _begin(k), _left_out(k)).join(under(b, _inside(h), _left_out(h)), "post")
-    down = under(a, _inside(k)).join(under(b, _begin(h)), "post")
+    up = under(a, _begin(k), _left_out(k)).join(under(b, _inside(h, g), _left_out(h)), "post")
+    down = under(a, _inside(k, f)).join(under(b, _begin(h)), "post")
     met = up.unionByName(down).drop("post").distinct()
     return met.groupBy("artist", "hit_artist").agg(F.max(likeness(k, h, F.col("f"), F.col("g"))).alias("known")).where("known > 0")
 

@@ -17,7 +17,16 @@ def q_queue_fold(t: Tables) -> DataFrame:
     return playqueue.fold(commands)
 
 
-@query()
+@query(
+    """WITH RECURSIVE k AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS now_ms, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+    w AS (
+        SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS now_ms, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS until, CAST(-1 AS BIGINT) AS seen, '' AS verdict FROM k GROUP BY 1
+        UNION ALL
+        SELECT user_id, event_id, now_ms, i, CASE verdict WHEN 'closed' THEN wrong WHEN 'wrong' THEN CASE WHEN wrong >= 4 THEN 0 ELSE wrong + 1 END ELSE 0 END, CASE WHEN verdict = 'wrong' AND wrong >= 4 THEN now_ms + 10000 ELSE until END,
+            CASE WHEN verdict IN ('back', 'joined') THEN now_ms ELSE seen END, verdict
+        FROM (SELECT k.*, w.wrong, w.until, w.seen, CASE WHEN good AND w.seen >= 0 AND k.now_ms - w.seen <= 120000 THEN 'back' WHEN k.now_ms < w.until THEN 'closed' WHEN good THEN 'joined' ELSE 'wrong' END AS verdict FROM w JOIN k ON k.user_id = w.user_id AND k.i = w.i + 1)
+    ) SELECT user_id, event_id, now_ms, verdict FROM w WHERE i > 0"""
+)
 def q_room_sessions(t: Tables) -> DataFrame:
     joins = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), "event_id", (F.col("event_type") != "error").alias("good_code"))
     return rooms.admissions(joins)
