@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def cards(collections: DataFrame, members: DataFrame, tracks: DataFrame, covers: int = 4) -> DataFrame:
     """Each collection (id, name) with its number of tracks and the first titles by position.
 
-    ``members``: collection_id, track_id, position; ``tracks``: id, title. The first titles come from
-    a per-collection list of (position, title), so only ids, positions and titles shuffle.
+    ``members``: collection_id, track_id, position; ``tracks``: id, title. Tasks count their own members and keep the first few
+    of each collection before anything is shuffled by it, so a collection of any size costs a task no more than that.
     """
     titled = members.join(tracks.select(F.col("id").alias("track_id"), "title"), "track_id")
-    lists = titled.groupBy("collection_id").agg(F.count("*").alias("n_tracks"), F.array_sort(F.collect_list(F.struct("position", "track_id", "title"))).alias("all"))
-    first = F.transform(F.slice("all", 1, covers), lambda x: x.title)
-    return collections.join(lists, collections["id"] == lists["collection_id"]).select("id", "name", "n_tracks", first.alias("covers"))
+    counts = titled.groupBy("collection_id").agg(F.count("*").alias("n_tracks"))
+    place = F.row_number().over(Window.partitionBy("collection_id").orderBy("position", "track_id", "title"))
+    heads = titled.select("collection_id", "title", place.alias("place")).where(F.col("place") <= covers)
+    first = heads.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("head"))
+    lists = counts.join(first, "collection_id")
+    return collections.join(lists, collections["id"] == lists["collection_id"]).select("id", "name", "n_tracks", F.transform("head", lambda x: x.title).alias("covers"))
 
 
 def collection_tracks(members: DataFrame, tracks: DataFrame) -> DataFrame:

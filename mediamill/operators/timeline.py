@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str, span: Callable[[Column], Column] | None = None) -> DataFrame:
     """Left rows with the value of the last right row of the key at or before their time (null if none).
 
     Both sides are united and the latest (time, tie, value) so far is carried on by one window, so
-    the key is shuffled once and no pairs arise.
+    the key is shuffled once and no pairs arise. With ``span`` (a rising function of time, such as its day) a key's rows are
+    dealt out by spans: the latest of each span is found first and handed on to the later ones, so that windows see one key and span only.
     """
-    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.struct(F.col(right_time).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v")).alias("_seen"), F.lit(0).alias("_side"))
+    seen = F.struct(F.col(right_time).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v"))
+    r = right.select(F.col(key), F.col(right_time).alias("_t"), seen.alias("_seen"), F.lit(0).alias("_side"))
     row = left.select(F.col(key), F.col(left_time).alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(1).alias("_side"))
     both = row.unionByName(r, allowMissingColumns=True)
-    at = Window.partitionBy(key).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    by = [key]
+    if span is not None:
+        both, by = both.withColumn("_span", span(F.col("_t"))), [key, "_span"]
+        earlier = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        ends = both.groupBy(*by).agg(F.max("_seen").alias("_own")).select(*by, F.max("_own").over(earlier).alias("_seen"))
+        handed = ends.where("_seen is not null").select(*by, F.col("_seen.t").alias("_t"), "_seen", F.lit(0).alias("_side"))
+        both = both.unionByName(handed, allowMissingColumns=True)
+    at = Window.partitionBy(*by).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("_last", F.max("_seen").over(at)).where("_side = 1").select("_row.*", F.col("_last.v").alias(value))
 
 

@@ -25,7 +25,7 @@ def millis(column: str = "ts") -> Column:
 def q_asof_clock(t: Tables) -> DataFrame:
     left = t.events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("at_time"))
     right = t.events.where("event_type = 'click'").select("user_id", "ts", "event_id", F.col("value").alias("clock"))
-    return tl.as_of(left, right, "user_id", "at_time", "ts", "clock", "event_id").select("user_id", "event_id", "at_time", "clock")
+    return tl.as_of(left, right, "user_id", "at_time", "ts", "clock", "event_id", F.to_date).select("user_id", "event_id", "at_time", "clock")
 
 
 @query(

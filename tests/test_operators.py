@@ -69,8 +69,9 @@ def test_lag(spark):
 def test_as_of(spark):
     left = spark.createDataFrame([("a", 1, 5), ("a", 2, 0), ("b", 3, 9)], "k string, id long, t long")
     right = spark.createDataFrame([("a", 4, 0, 1.0), ("a", 5, 1, 2.0), ("a", 5, 2, 3.0), ("a", 6, 3, 4.0)], "k string, s long, i long, v double")
-    got = {r.id: r.v for r in tl.as_of(left, right, "k", "t", "s", "v", "i").collect()}
-    assert got == {1: 3.0, 2: None, 3: None}
+    for span in (None, lambda t: F.floor(t / 2), lambda t: t):
+        got = {r.id: r.v for r in tl.as_of(left, right, "k", "t", "s", "v", "i", span).collect()}
+        assert got == {1: 3.0, 2: None, 3: None}
 
 
 def test_signals(spark):
