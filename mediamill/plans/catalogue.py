@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imports, library, lookups, registry, relational, series, shapes, signals, text, workflow  # noqa: F401  registers
+from . import imports, library, lookups, outcomes, registry, relational, series, shapes, signals, text, workflow  # noqa: F401  registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
