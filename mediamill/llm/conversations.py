@@ -86,23 +86,35 @@ def _folded(turns: Column) -> Column:
 def _repaired(turns: Column, audit: Column) -> Column:
     """The lines ``role:text`` that the edits leave, joined by newlines."""
     upto = lambda j, without: F.length(F.translate(F.substring(audit, F.lit(1), j), without, ""))
-    # a kept system turn stands first, so the number of a line tells whose turn it is
-    led = F.exists(F.sequence(F.lit(1), F.size(turns)), lambda j: (F.substring(F.translate(audit, "I", ""), j, F.lit(1)) == "K") & (F.element_at(turns, j).initial == "s"))
+    once = lambda value, of: F.transform(F.array(value), of)[0]  # noqa: E731  a lambda's variable is computed once, an outer expression at each use
 
-    def line(j: Column) -> Column:
+    def line(j: Column, led: Column) -> Column:
         edit = F.substring(audit, j, F.lit(1))
         turn = F.get(turns, upto(j, "I") - 1)
-        own = F.when((upto(j, "D") + led.cast("int")) % 2 == 1, "user").otherwise("assistant")
+        own = F.when((upto(j, "D") + led) % 2 == 1, "user").otherwise("assistant")
         return F.when(edit == "K", F.concat(turn.role, F.lit(":"), turn.text)).when(edit == "R", F.concat(own, F.lit(":"), turn.text)).when(edit == "I", F.concat(own, F.lit(":")))
 
-    return F.when(F.length(audit) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(audit)), line), "\n"))
+    def lines(led: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(audit)), lambda j: line(j, led)), "\n")
+
+    def first(own: Column) -> Column:
+        """1 if a system turn is kept: it stands first, so the number of a line tells whose turn it is."""
+        return F.exists(F.sequence(F.lit(1), F.size(turns)), lambda j: (F.substring(own, j, F.lit(1)) == "K") & (F.element_at(turns, j).initial == "s")).cast("int")
+
+    return F.when(F.length(audit) == 0, "").otherwise(once(once(F.translate(audit, "I", ""), first), lines))
 
 
 def _short(rows: DataFrame) -> DataFrame:
     """Conversations as arrays, by native expressions alone."""
     turn = F.when(F.col("there"), F.struct("place", "turn", "role", "text", "initial", "fault", "illegal"))
     convs = rows.groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    convs = convs.withColumn("fold", F.when(F.size("turns") > 0, _folded(F.col("turns"))).otherwise(F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("audit"))))
+
+    def ended(fold: Column) -> Column:
+        return F.struct(fold.cost.alias("cost"), fold.audit.alias("audit"), F.sha2(F.when(F.size("turns") > 0, _repaired(F.col("turns"), fold.audit)).otherwise("").cast("binary"), 256).alias("repaired_sha256"))
+
+    fold = F.when(F.size("turns") > 0, _folded(F.col("turns"))).otherwise(F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("audit")))
+    # a lambda's variable is computed once, an outer expression wherever a line asks for it
+    convs = convs.withColumn("end", F.transform(F.array(fold), ended)[0])
     times = F.filter(F.transform("turns", lambda t: t.turn), lambda t: t.isNotNull())
     gaps = F.array_max(times) - F.array_min(times) + 1 - F.size(F.array_distinct(times))
 
@@ -117,9 +129,7 @@ def _short(rows: DataFrame) -> DataFrame:
         F.coalesce(gaps, F.lit(0)).cast("long").alias("gaps"),
         *map(having, ("blank", "duplicate", "truncated")),
         number(lambda t: t.illegal).alias("illegal"),
-        F.col("fold.cost").alias("cost"),
-        F.col("fold.audit").alias("audit"),
-        F.sha2(F.when(F.size("turns") > 0, _repaired(F.col("turns"), F.col("fold.audit"))).otherwise("").cast("binary"), 256).alias("repaired_sha256"),
+        "end.*",
     )
 
 
