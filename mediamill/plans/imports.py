@@ -36,8 +36,8 @@ def q_found_videos(t: Tables) -> DataFrame:
 
 @query(
     """SELECT p_partkey AS id, CASE WHEN p_partkey % 8 > 0 THEN '/m/' || p_partkey END AS path, CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS name,
-        CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 3 > 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'A ' || p_brand ELSE 'Owner' END AS singer, CASE WHEN p_partkey % 8 > 0 THEN CAST(round(p_retailprice) AS BIGINT) END AS duration_s,
-        CASE WHEN p_partkey % 8 > 0 THEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 END AS sure FROM part"""
+        CASE WHEN p_partkey % 8 = 0 THEN NULL WHEN p_partkey % 3 > 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN 'A ' || p_brand ELSE 'Owner' END AS singer, CASE WHEN p_partkey % 8 > 0 THEN CAST(round(p_retailprice) AS BIGINT) ELSE -1 END AS duration_s,
+        p_partkey % 8 > 0 AND p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS sure FROM part"""
 )
 def q_fetched(t: Tables) -> DataFrame:
     i = F.col("p_partkey")
@@ -50,7 +50,7 @@ def q_fetched(t: Tables) -> DataFrame:
         F.col("p_retailprice").alias("duration"),
     )
     found = p.fetched(t.part.select(i.alias("id"), F.to_json(record).alias("line")), "line")
-    return found.select("id", "path", "name", "singer", "duration_s", (F.size("guesses") == 0).alias("sure"))
+    return found.select("id", "path", "name", "singer", F.coalesce("duration_s", F.lit(-1)).alias("duration_s"), F.coalesce(F.size("guesses") == 0, F.lit(False)).alias("sure"))
 
 
 @query("SELECT p_partkey AS id, p_name AS hit_title, p_brand || CASE WHEN p_size % 2 = 0 THEN ' & ' || p_type ELSE '' END AS hit_artist, CAST(p_retailprice AS DOUBLE) AS hit_length FROM part WHERE p_partkey % 6 > 0")

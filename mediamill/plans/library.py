@@ -90,26 +90,26 @@ def q_upgrade(t: Tables) -> DataFrame:
 # ---- resumed work, rates
 
 
-@query("SELECT vec_id AS audio_hash, i AS index, CAST(len(x) AS INTEGER) AS n, round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 4) AS total FROM (SELECT vec_id, i, embedding[i * 20 + 1 : i * 20 + 20] AS x FROM embeddings, range(0, 4) r(i) WHERE (vec_id + i) % 3 <> 0)")
+@query("SELECT vec_id AS audio_hash, i AS index, CAST(len(x) AS INTEGER) AS n, round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 4) + 0.0 AS total FROM (SELECT vec_id, i, embedding[i * 20 + 1 : i * 20 + 20] AS x FROM embeddings, range(0, 4) r(i) WHERE (vec_id + i) % 3 <> 0)")
 def q_resume_missing(t: Tables) -> DataFrame:
     songs = t.embeddings.select(F.col("vec_id").alias("audio_hash"), F.col("embedding").cast("array<double>").alias("samples"))
     done = songs.select("audio_hash", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("index")).where((F.col("audio_hash") + F.col("index")) % 3 == 0)
     found = resume.separate_missing(songs, done, signals.silence, 20, 24, 16, 4)
-    return found.select("audio_hash", "index", F.size("instrumental").alias("n"), F.round(F.aggregate("instrumental", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return found.select("audio_hash", "index", F.size("instrumental").alias("n"), (F.round(F.aggregate("instrumental", F.lit(0.0), lambda a, v: a + v), 4) + 0.0).alias("total"))
 
 
 @query(
     """WITH s AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 + unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT label, count(*) AS n FROM s GROUP BY 1),
     o AS (SELECT label, unnest(range(0, n * 147 // 160)) AS j FROM n), q AS (SELECT label, j, j * 160 // 147 AS i, (j * 160 % 147) / 147.0::DOUBLE AS t FROM o),
     x AS (SELECT q.*, coalesce(a.v, 0) AS a, b.v AS b, coalesce(c.v, 0) AS c, coalesce(d.v, 0) AS d FROM q LEFT JOIN s a ON a.label = q.label AND a.p = i - 1 JOIN s b ON b.label = q.label AND b.p = i LEFT JOIN s c ON c.label = q.label AND c.p = i + 1 LEFT JOIN s d ON d.label = q.label AND d.p = i + 2)
-    SELECT label, j // 100 AS block, count(*) AS n, round(sum(((((d - a) * 0.5 + (b - c) * 1.5) * t + (a - b * 2.5 + c * 2.0 - d * 0.5)) * t + (c - a) * 0.5) * t + b), 4) AS total FROM x GROUP BY 1, 2"""
+    SELECT label, j // 100 AS block, count(*) AS n, round(sum(((((d - a) * 0.5 + (b - c) * 1.5) * t + (a - b * 2.5 + c * 2.0 - d * 0.5)) * t + (c - a) * 0.5) * t + b), 4) + 0.0 AS total FROM x GROUP BY 1, 2"""
 )
 def q_cubic_rate(t: Tables) -> DataFrame:
     """48 kHz to 44.1 kHz over each label's vectors as one signal, summed by blocks of 100."""
     start = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1) * 64
     pieces = t.embeddings.select("label", start.cast("long").alias("start"), "embedding")
     out = resume.cubic(pieces, "label", "start", "embedding", 160, 147, 500).select("label", F.posexplode("samples").alias("k", "v"), "start")
-    return out.groupBy("label", F.floor((F.col("start") + F.col("k")) / 100).alias("block")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    return out.groupBy("label", F.floor((F.col("start") + F.col("k")) / 100).alias("block")).agg(F.count("*").alias("n"), (F.round(F.sum("v"), 4) + 0.0).alias("total"))
 
 
 # ---- scripts

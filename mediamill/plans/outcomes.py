@@ -29,10 +29,10 @@ def q_pasted_links(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT event_id, CASE WHEN form IN (4, 6) THEN 'rejected' WHEN form < 6 THEN 'link' ELSE 'text' END AS kind, CASE form WHEN 0 THEN 'youtu.be' WHEN 1 THEN 'm.youtube.com' WHEN 2 THEN 'youtube.com' WHEN 3 THEN 'bilibili.com' WHEN 4 THEN 'spotify.com' WHEN 5 THEN 'files.example.com' WHEN 6 THEN 'example.org' END AS host,
-        CASE form WHEN 4 THEN true WHEN 6 THEN false END AS streaming FROM ({_FORMS})"""
+        form = 4 AS streaming FROM ({_FORMS})"""
 )
 def q_search_box(t: Tables) -> DataFrame:
-    return _pasted(t).select("event_id", links.meant(F.col("text")).alias("m")).select("event_id", "m.kind", "m.host", "m.streaming")
+    return _pasted(t).select("event_id", links.meant(F.col("text")).alias("m")).select("event_id", "m.kind", "m.host", F.coalesce("m.streaming", F.lit(False)).alias("streaming"))
 
 
 @query(
@@ -57,7 +57,7 @@ def q_ask_once(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT vec_id AS track_id, label AS index, CASE WHEN vec_id % 5 = 0 THEN 'notPrepared' WHEN vec_id % 5 = 1 THEN 'partNotReady' END AS problem, CASE WHEN vec_id % 5 > 1 THEN round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) END AS total, CASE WHEN vec_id % 5 > 1 THEN 128 END AS n FROM embeddings"""
+    """SELECT vec_id AS track_id, label AS index, CASE WHEN vec_id % 5 = 0 THEN 'notPrepared' WHEN vec_id % 5 = 1 THEN 'partNotReady' END AS problem, CASE WHEN vec_id % 5 > 1 THEN round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) + 0.0 END AS total, CASE WHEN vec_id % 5 > 1 THEN 128 END AS n FROM embeddings"""
 )
 def q_parts_of(t: Tables) -> DataFrame:
     """Vectors as chunks: half of each is the vocals."""
@@ -69,4 +69,4 @@ def q_parts_of(t: Tables) -> DataFrame:
     mixes = e.select(F.col("hash").alias("audio_hash"), F.col("label").alias("index"), F.col("v").alias("left"), F.col("v").alias("right"))
     separations = e.select(F.when(F.col("vec_id") % 5 > 0, F.col("hash")).alias("audio_hash"))
     found = outcomes.parts_of(wanted, sources, separations, chunks, mixes)
-    return found.select("track_id", "index", "problem", F.round(F.aggregate("instrumental", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("vocals").alias("n")).withColumn("n", F.when(F.col("n") > 0, F.col("n")))
+    return found.select("track_id", "index", "problem", (F.round(F.aggregate("instrumental", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"), F.size("vocals").alias("n")).withColumn("n", F.when(F.col("n") > 0, F.col("n")))
