@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import signals
 
@@ -47,8 +47,6 @@ def cubic(pieces: DataFrame, key: str, start: str, samples: str, rate: int, to:
     whose place, j * rate / to, falls on it, and sees one sample of the piece before and two of the piece after. Places are whole numbers
     and remainders, so nothing drifts. Beyond the ends are zeros. All by array expressions; a row is at most ``piece`` samples.
     """
-    from pyspark.sql import Window
-
     even = signals.regroup(pieces, key, start, samples, piece)
     by = Window.partitionBy(key).orderBy("index")
     x = even.select(key, "index", F.col("samples").cast("array<double>").alias("x"), F.lag("samples").over(by).cast("array<double>").alias("before"), F.lead("samples").over(by).cast("array<double>").alias("after"))
@@ -61,11 +59,13 @@ def cubic(pieces: DataFrame, key: str, start: str, samples: str, rate: int, to:
     beyond = F.when(F.col("after").isNull(), F.floor(n * to / F.lit(rate))).otherwise(F.ceil(n * to / F.lit(rate))).cast("long")
     x = x.select(key, "index", F.concat(left, "x", right).alias("x"), first.alias("first"), beyond.alias("beyond")).where("beyond > first")
 
-    def at(j):
+    def at(v: Column, j: Column) -> Column:
         i = F.floor(j * rate / F.lit(to)) - F.col("index") * piece
         t = (j * rate % to) / F.lit(float(to))
-        a, b, c, d = (F.get("x", (i + k).cast("int")) for k in range(4))
+        a, b, c, d = (F.get(v, (i + k).cast("int")) for k in range(4))
         c1, c2, c3 = (c - a) * 0.5, a - b * 2.5 + c * 2.0 - d * 0.5, (d - a) * 0.5 + (b - c) * 1.5
         return ((c3 * t + c2) * t + c1) * t + b
 
-    return x.select(key, F.col("first").alias("start"), F.transform(F.sequence("first", F.col("beyond") - 1), at).alias("samples"))
+    # a lambda's variable is computed once, an outer expression for each sample
+    out = F.transform(F.array("x"), lambda v: F.transform(F.sequence("first", F.col("beyond") - 1), lambda j: at(v, j)))[0]
+    return x.select(key, F.col("first").alias("start"), out.alias("samples"))
