@@ -30,7 +30,9 @@ def q_sdr(t: Tables) -> DataFrame:
 @query("SELECT vec_id, CAST(len(embedding) // 2 * 2 AS BIGINT) AS n, list_sum(list_transform(range(1, 33), lambda i: i * (CAST(round(embedding[i] * 1000) AS BIGINT) - CAST(round(embedding[i + 32] * 1000) AS BIGINT))))::BIGINT AS mark FROM embeddings")
 def q_interleave(t: Tables) -> DataFrame:
     both = x.interleave(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
-    pair = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: i * (F.round(F.element_at("both", (2 * i - 1).cast("int")) * 1000).cast("long") - F.round(F.element_at("both", (2 * i).cast("int")) * 1000).cast("long")))
+    # in single precision, as the samples are: a product that is rounded to a half there isn't one in double precision
+    mille = lambda k: F.round(F.element_at("both", k.cast("int")) * F.lit(1000).cast("float")).cast("long")
+    pair = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: i * (mille(2 * i - 1) - mille(2 * i)))
     return t.embeddings.select("vec_id", both.alias("both")).select("vec_id", F.size("both").cast("long").alias("n"), F.aggregate(pair, F.lit(0).cast("long"), lambda a, v: a + v).alias("mark"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from types import SimpleNamespace
 
 import duckdb
 import pandas as pd
+from pyspark.sql import types as T
 
-from mediamill.plans import registry, text
+from mediamill.plans import registry, signals, text
 
 
 def _same(got, sql, **tables):
@@ -24,3 +26,12 @@ def test_instrumental_knows_ascii_letters_and_one_word(spark):
     documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
     got = text.q_instrumental(SimpleNamespace(documents=spark.createDataFrame(documents))).toPandas()
     _same(got, registry.ORACLES["q_instrumental"], documents=documents)
+
+
+def test_interleave_rounds_single_precision(spark):
+    half = struct.unpack("f", struct.pack("f", 0.3195))[0]  # times 1000: 319.5 in single, 319.4999993 in double precision
+    vectors = [[0.001 * i for i in range(64)], [half if i == 17 else -half if i == 40 else 0.0 for i in range(64)]]
+    kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    df = spark.createDataFrame(list(enumerate(vectors)), kind)
+    got = signals.q_interleave(SimpleNamespace(embeddings=df)).toPandas()
+    _same(got, registry.ORACLES["q_interleave"].replace("FROM embeddings", "FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM embeddings)"), embeddings=pd.DataFrame({"vec_id": [0, 1], "embedding": vectors}))
