@@ -1,4 +1,4 @@
-"""Results kept in the folder that all executors share, so that later steps neither repeat nor plan them again."""
+"""Results kept in the folder that all executors share, so that later steps neither repeat nor plan them again; rows dealt to all cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,9 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kept-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to all cores before dear expressions: a file of short repeated values has few splits for its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
