@@ -43,7 +43,8 @@ def fetched(records: DataFrame, line: str) -> DataFrame:
     i = F.col(info)
     rows = rows.withColumn("_video", F.when(i.isNotNull(), F.coalesce(i.title, F.lit("Unknown song")))).withColumn("_owner", i.uploader)
     rows = names.name_guesses(rows, "_video", "_owner", "_guesses")
-    own = names.upload_names("_video", "_owner")
+    rows = rows.withColumn("_named", names.upload_names("_video", "_owner"))
+    own = F.col("_named")
     name = F.when(i.track.isNotNull(), i.track).otherwise(own.title)
     singer = F.when(i.track.isNotNull(), F.coalesce(i.artist, i.uploader)).otherwise(own.artist)
     by_track = F.transform("_guesses", lambda g: F.struct(i.track.alias("title"), g.artist.alias("artist")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import payloads as p
 from ..operators import catalogue as c, timeline as tl
+from ..operators.lineage import spread
 from .registry import Tables, query
 from .series import millis
 
@@ -49,7 +50,7 @@ def q_fetched(t: Tables) -> DataFrame:
         F.when(i % 2 == 0, F.concat(F.lit("A "), "p_brand")).alias("artist"),
         F.col("p_retailprice").alias("duration"),
     )
-    found = p.fetched(t.part.select(i.alias("id"), F.to_json(record).alias("line")), "line")
+    found = p.fetched(spread(t.part).select(i.alias("id"), F.to_json(record).alias("line")), "line")
     return found.select("id", "path", "name", "singer", F.coalesce("duration_s", F.lit(-1)).alias("duration_s"), F.coalesce(F.size("guesses") == 0, F.lit(False)).alias("sure"))
 
 

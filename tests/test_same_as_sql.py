@@ -7,9 +7,10 @@ from types import SimpleNamespace
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import types as T
 
-from mediamill.plans import registry, signals, text
+from mediamill.plans import imports, registry, signals, text
 
 
 def _same(got, sql, **tables):
@@ -35,3 +36,16 @@ def test_interleave_rounds_single_precision(spark):
     df = spark.createDataFrame(list(enumerate(vectors)), kind)
     got = signals.q_interleave(SimpleNamespace(embeddings=df)).toPandas()
     _same(got, registry.ORACLES["q_interleave"].replace("FROM embeddings", "FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM embeddings)"), embeddings=pd.DataFrame({"vec_id": [0, 1], "embedding": vectors}))
+
+
+@pytest.mark.parametrize("name", ["q_clean_title", "q_fetched"])
+def test_parts_of_one_file_are_dealt_to_all_cores(spark, name):
+    rows = [(i, f"{a} ring", f"Brand#{i % 5}", "SMALL", i % 9, 100.0 + i) for i, a in enumerate(["red", "hot", "cold", "small"] * 5)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1)
+    query = {"q_clean_title": text.q_clean_title, "q_fetched": imports.q_fetched}[name]
+    got = query(SimpleNamespace(part=part))
+    assert got.rdd.getNumPartitions() == 4
+    if name in registry.ORACLES:
+        _same(got.toPandas(), registry.ORACLES[name], part=part.toPandas())
+    else:
+        assert {(r.id, r.name, r.singer) for r in got.collect()} == {(i, n, None) for i, n, *_ in rows}
