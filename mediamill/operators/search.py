@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
 from ..functions.columns import within_one_edit
-from .lineage import kept
+from .lineage import kept, spread
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -157,7 +157,7 @@ def best_match(wanted: DataFrame, hits: DataFrame, simplify: Callable[[Column |
     or 1, singer 0 to 2, closeness of length up to 1; ties by more timed lines, then the first hit.
     Songs and hits without a letter in their title, songs without length and songs that nothing matches have no row.
 
-    Only distinct values meet: titles by left-out letters of their words, singers also by beginnings of their keys,
+    Only distinct values are cleaned and meet: titles by left-out letters of their words, singers also by beginnings of their keys,
     lengths in spans of time. Of hits that score alike for a song the best goes on, so rows of
     one title count no more than its distinct lengths. An unlike singer scores least whoever it is, so
     for equal titles singers need not meet: a hit whose singer is like scores more by the other way.
@@ -169,11 +169,14 @@ def best_match(wanted: DataFrame, hits: DataFrame, simplify: Callable[[Column |
         hits = hits.withColumns({c: simplify(c) for c in ("hit_title", "hit_artist")})
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(names.fold(c), r"[^\p{IsAlphabetic}\p{N}]+", " ")), " ")), "")
     song = ["key", "sorted", "artist", "length"]
-    w = wanted.select("id", names.key("title").alias("key"), sorted_("title").alias("sorted"), F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("key <> '' and length is not null and not isnan(length)")
-    h = hits.select(names.clean_title("hit_title", "hit_artist")["name"].alias("name"), "_hit", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), "timed_lines", "ord")
-    h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.col("_hit").alias("hit")).where("hit_key <> ''")
     best = lambda df, *by: df.groupBy(*by).agg(F.max_by("hit", "rank").alias("hit"), F.max("rank").alias("rank"))
-    w, h = kept(w), kept(best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length"))
+    asked = wanted.select("id", "title", F.coalesce("artist", F.lit("")).alias("artist"), F.col("length").cast("double").alias("length")).where("length is not null and not isnan(length)")
+    w = spread(asked.select("title", "artist", "length").distinct()).withColumns({"key": names.key("title"), "sorted": sorted_("title")})
+    h = hits.select("hit_title", "hit_artist", F.nanvl(F.col("hit_length").cast("double"), F.lit(None)).alias("hit_length"), F.struct("timed_lines", (-F.col("ord")).alias("o")).alias("rank"), F.col("_hit").alias("hit"))
+    # written before they are folded: cleaning folds too, and such calls of Python don't nest
+    h = kept(spread(best(h, "hit_title", "hit_artist", "hit_length")).withColumn("name", names.clean_title("hit_title", "hit_artist")["name"]))
+    h = h.select(names.key("name").alias("hit_key"), sorted_("name").alias("hit_sorted"), "hit_artist", "hit_length", "rank", "hit")
+    w, h = kept(w).where("key <> ''"), kept(best(h, "hit_key", "hit_sorted", "hit_artist", "hit_length")).where("hit_key <> ''")
     songs = w.select(*song).distinct()
     titles = kept(_like_titles(w, h))
 
@@ -193,7 +196,7 @@ def best_match(wanted: DataFrame, hits: DataFrame, simplify: Callable[[Column |
     unknown = best(titles.where("same").join(h, ["hit_key", "hit_sorted"]).withColumn("base", F.lit(2)), "key", "sorted", "base", "hit_length")
     scored = near(["key", "sorted", "artist"], known, 60).unionByName(near(["key", "sorted"], unknown, 10))
     found = scored.groupBy(*song).agg(F.max_by("hit", F.struct("points", "rank")).alias("hit"), F.max(F.struct("points", "rank")).alias("top"))
-    rows = w.join(found, song)
+    rows = asked.join(w.join(found, song).select("title", "artist", "length", "hit", "top"), ["title", "artist", "length"])
     return rows.groupBy("id").agg(F.max_by("hit", "top").alias("hit"), F.round(F.max("top.points"), 6).alias("points")).select("id", "hit.hit_title", "hit.hit_artist", "hit.ord", "points")
 
 

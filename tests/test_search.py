@@ -84,3 +84,13 @@ def test_best_synced(spark):
     hits = [("Tin Roof", "Ivy Lane", 100.0, "no stamps", 0), ("Tin Roof", "Ivy Lane", None, "[00:01.00]a", 1), ("Tin Roof", "Ivy Lane", 9.0, "[00:01.00]a\n[00:02.00]b", 2), ("Tin Roof", "Ivy Lane", 9.0, None, 3)]
     rows = search.best_synced(wanted, spark.createDataFrame(hits, "hit_title string, hit_artist string, hit_length double, lyrics string, ord long")).collect()
     assert [(r.id, r.ord, r.lyrics) for r in rows] == [(1, 2, hits[2][3])]
+
+
+def test_only_distinct_hits_are_cleaned(spark, monkeypatch):
+    cleaned = []
+    monkeypatch.setattr(search, "kept", lambda df: cleaned.append(df.count()) or df.localCheckpoint() if "name" in df.columns else df.localCheckpoint())
+    wanted = spark.createDataFrame([(i, "Tin Roof", "Ivy Lane", 9.0) for i in range(40)], "id long, title string, artist string, length double")
+    hits = wanted.selectExpr("title as hit_title", "artist as hit_artist", "length as hit_length", "5 as timed_lines", "id as ord")
+    rows = search.best_match(wanted, hits).collect()
+    assert sorted((r.id, r.ord) for r in rows) == [(i, 0) for i in range(40)]
+    assert cleaned == [1]
