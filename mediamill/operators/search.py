@@ -202,5 +202,5 @@ def best_match(wanted: DataFrame, hits: DataFrame, simplify: Callable[[Column |
 
 def best_synced(wanted: DataFrame, hits: DataFrame, lyrics: str = "lyrics") -> DataFrame:
     """``best_match`` among the hits whose lyrics have a time stamp, with their timed lines counted; the match comes with its lyrics."""
-    synced = hits.where(names.is_synced(F.col(lyrics))).withColumn("timed_lines", names.timed_lines(F.col(lyrics)))
+    synced = kept(spread(hits).withColumn("timed_lines", names.timed_lines(F.col(lyrics))).where("timed_lines > 0"))
     return best_match(wanted, synced).join(synced.select("ord", lyrics), "ord")
