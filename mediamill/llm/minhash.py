@@ -14,8 +14,10 @@ from .common import LOWER, U, Forest, checkpointed, connected_components, id_fil
 
 #: Signature coordinates, and the chance with which a pair at the least similarity may share too few of them to be compared on its full sets.
 COORDINATES, MISSED = 32, 1e-7
-#: Documents of a posting list that meet in one task; longer lists are cut into blocks, and blocks are paired.
-BLOCK = 256
+#: Documents of a posting list whose signatures meet in one task; longer lists are cut into blocks, and blocks are paired.
+BLOCK = 2048
+#: Documents of one side whose full sets meet in one task.
+CELL = 256
 #: Centres that may be broadcast with the number of their groups.
 FEW = 1 << 17
 #: Rows of a star that meet its centre in one task.
@@ -52,12 +54,20 @@ def _signatures(id_col: str, text_col: str, width: int, n: int):
                         tokens[full, j] = mix64(np.minimum.reduceat(flat * seeds[j], at) ^ U((j + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
                     d1[full] = np.add.reduceat(mix64(flat ^ U(0x51)), at)
                     d2[full] = np.add.reduceat(mix64(flat ^ U(0x7A3)), at)
+                folds = pa.array([_parity(s) for s in sets], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(sets) + 1, n, dtype=np.int32)), pa.array(tokens.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=["doc_id", "n_shingles", "d1", "d2", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, folds], names=["doc_id", "n_shingles", "d1", "d2", "tokens", "parity"])
 
     return run
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls in each of 4 (256 at least) to 8 places a shingle, by the lowest bits: two sets differ in no fewer shingles than places."""
+    places = max(256, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 256
+    odd = np.bincount((shingles & U(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sets(text_col: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,6 +111,28 @@ def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return sum((left[:, k, None] == right[None, :, k]).astype(np.int16) for k in range(left.shape[1]))
 
 
+def _near_enough(left: pd.DataFrame, right: pd.DataFrame, close: np.ndarray, percent: int) -> np.ndarray:
+    """The close pairs but those that surely aren't ``percent``/100 alike: sizes and parities say in how many shingles two sets differ at least."""
+    sizes = left.n_shingles.to_numpy()[:, None] + right.n_shingles.to_numpy()[None, :]
+    apart = np.abs(left.n_shingles.to_numpy()[:, None] - right.n_shingles.to_numpy()[None, :])
+    close = close & ((100 + percent) * apart <= (100 - percent) * sizes)
+    for a, own in left.parity.groupby(left.parity.str.len().to_numpy()).indices.items():
+        for b, other in right.parity.groupby(right.parity.str.len().to_numpy()).indices.items():
+            i, j = np.nonzero(close[np.ix_(own, other)])
+            if not len(i):
+                continue
+            words = min(a, b) // 8
+            # the lowest bits of a place are its place among fewer
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(part.parity.iloc[at]), U).reshape(len(at), -1, words), axis=1) for part, at in ((left, own), (right, other)))
+            step = max(1, (1 << 20) // words)
+            for k in range(0, len(i), step):
+                m, n = i[k : k + step], j[k : k + step]
+                differ = np.bitwise_count(x[m] ^ y[n]).sum(axis=1, dtype=np.int64)
+                far = (100 + percent) * differ > (100 - percent) * sizes[own[m], other[n]]
+                close[own[m[far]], other[n[far]]] = False
+    return close
+
+
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Side 0 meets side 1; rows of side 2 meet each other."""
     pdf = pdf.drop_duplicates(["node", "side"])
@@ -108,18 +140,50 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return own, own if (pdf.side == 2).any() else pdf[pdf.side == 1]
 
 
-def _collide(matches: int):
-    """Of one block pair the rows that agree with a row of the other side, not yet connected with it, in at least ``matches`` coordinates."""
+def _spanning(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of the close pairs a forest that joins the same components."""
+    names, code = np.unique(np.concatenate([left, right]), return_inverse=True)
+    label, left, right = np.arange(len(names)), code[: len(left)], code[len(left) :]
+    out = np.zeros_like(close)
+    for i in np.flatnonzero(close.any(axis=1)):
+        j = np.flatnonzero(close[i])
+        met, at = np.unique(label[right[j]], return_index=True)
+        new = met != label[left[i]]
+        if new.any():
+            out[i, j[at[new]]] = True
+            label[np.isin(label, met[new])] = label[left[i]]
+    return out
+
+
+def _collide(matches: int, percent: int | None = None, spanning: bool = False):
+    """Of one block pair the rows that agree with a row of the other side, not yet connected with it, in at least ``matches`` coordinates, and may be ``percent``/100 alike: once for each pair of cells where they do.
+
+    ``spanning``: only rows of a forest of such pairs, and once, as of cell -1, each row that has such a pair at all.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own, other = _sides(pdf)
-        if not len(own) or not len(other):
-            return pdf[:0]
-        left, right = (np.stack(x.tokens.to_numpy()) for x in (own, other))
-        close = (_agreeing(left, right) >= matches) & (own.component.to_numpy()[:, None] != other.component.to_numpy()[None, :])
-        if other is own:
-            return own[close.any(axis=1)]
-        return pd.concat([own[close.any(axis=1)], other[close.any(axis=0)]])
+        out = [own[:0].assign(cell=0)]
+        if len(own) and len(other):
+            left, right = (np.stack(x.tokens.to_numpy()) for x in (own, other))
+            close = (_agreeing(left, right) >= matches) & (own.component.to_numpy()[:, None] != other.component.to_numpy()[None, :])
+            if percent is not None:
+                close = _near_enough(own, other, close, percent)
+            if spanning:
+                out += [rows[close.any(axis=axis)].assign(cell=-1) for rows, axis in ((own, 1), (other, 0))]
+                close = _spanning(close, own.component.to_numpy(), other.component.to_numpy())
+                close = close | close.T if other is own else close
+            width = -(-len(other) // CELL)
+            for i in range(0, len(own), CELL):
+                for j in range(i if other is own else 0, len(other), CELL):
+                    part = close[i : i + CELL, j : j + CELL]
+                    if part.any():
+                        cell = i // CELL * width + j // CELL
+                        sides = ((own[i : i + CELL], 1, 0), (other[j : j + CELL], 0, 1))
+                        if other is own and i == j:
+                            sides = ((own[i : i + CELL], 1, 2),)
+                        out += [rows[part.any(axis=axis)].assign(cell=cell, side=side) for rows, axis, side in sides]
+        return pd.concat(out).drop(columns=["n_shingles", "parity"], errors="ignore")
 
     return run
 
@@ -173,9 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     matches = fitting_matches(percent, coordinates) if matches is None else matches
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = checkpointed(source.mapInArrow(_signatures("doc_id", "text", width, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
+    sigs = checkpointed(source.mapInArrow(_signatures("doc_id", "text", width, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>, parity binary"))
     worded = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(worded.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")).withColumn("node", F.col("d1")))
+    classes = checkpointed(worded.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")).withColumn("node", F.col("d1")))
     tokens_of = classes.select("node", "tokens")
     posts = classes.select("node", F.explode("tokens").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -208,26 +272,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = mark.alias("m").join(mark.alias("n"), F.col("m.to") == F.col("n.node"), "left").select("m.node", F.coalesce("n.to", "m.to").alias("component"))
     first = checkpointed(first)
 
-    rest = prefix.join(hubs, "token").where("m > 2 and node <> hub").join(first, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
-    lists = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark")).where("size > main.n")
-    lists = lists.groupBy("mark", "size").agg(F.min(F.struct("token", "main")).alias("l")).select(
-        F.col("l.token").alias("token"), F.col("l.main.component").alias("main"), F.ceil(F.col("l.main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("size") - F.col("l.main.n")) / BLOCK).alias("other_blocks")
-    )
-    open_ = rest.join(lists, "token").withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    pairing = F.when(F.col("is_main"), F.transform(upto("other_blocks"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(
-        F.concat(
-            F.transform(upto("main_blocks"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-            F.transform(
-                upto("other_blocks"),
-                lambda k: F.struct(F.least("block", k).alias("i"), (F.col("main_blocks") + F.greatest("block", k)).alias("j"), F.when(F.col("block") == k, 2).when(F.col("block") < k, 0).otherwise(1).alias("side")),
-            ),
+    def alike_in_lists(rows: DataFrame, components: DataFrame, spanning: bool) -> DataFrame:
+        rest = rows.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+        parts = rest.groupBy("token", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+        lists = parts.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.sum("mark").alias("mark")).where("size > main.n")
+        lists = lists.groupBy("mark", "size").agg(F.min(F.struct("token", "main")).alias("l")).select(
+            F.col("l.token").alias("token"), F.col("l.main.component").alias("main"), F.ceil(F.col("l.main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("size") - F.col("l.main.n")) / BLOCK).alias("other_blocks")
+        )
+        open_ = rest.join(lists, "token").withColumn("is_main", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))))
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        pairing = F.when(F.col("is_main"), F.transform(upto("other_blocks"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))).otherwise(
+            F.concat(
+                F.transform(upto("main_blocks"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+                F.transform(
+                    upto("other_blocks"),
+                    lambda k: F.struct(F.least("block", k).alias("i"), (F.col("main_blocks") + F.greatest("block", k)).alias("j"), F.when(F.col("block") == k, 2).when(F.col("block") < k, 0).otherwise(1).alias("side")),
+                ),
+            )
         )
-    )
-    met = open_.join(tokens_of, "node").select("node", "component", "token", "tokens", F.explode(pairing).alias("p")).select("node", "component", "token", "tokens", "p.*")
-    close = checkpointed(met.groupBy("token", "i", "j").applyInPandas(_collide(matches), met.schema))
-    links = links.unionByName(checkpointed(confirmed(close, ["token", "i", "j"])))
+        met = open_.join(classes.select("node", "n_shingles", "tokens", "parity"), "node").select("node", "component", "token", "n_shingles", "tokens", "parity", F.explode(pairing).alias("p")).select("*", "p.*").drop("p")
+        return checkpointed(met.groupBy("token", "i", "j").applyInPandas(_collide(matches, percent, spanning), "node long, component long, token long, tokens array<long>, i long, j long, side int, cell long"))
+
+    # what a forest joins need not meet in full: rows with full sets stay near the number of components of a list
+    cells = ["token", "i", "j", "cell"]
+    close = alike_in_lists(prefix.join(hubs, "token").where("m > 2 and node <> hub").select("token", "node"), first, True)
+    links = links.unionByName(checkpointed(confirmed(close.where("cell >= 0"), cells)))
+    joined = connected_components(links, "a", "b")
+    close = alike_in_lists(close.where("cell < 0").select("token", "node").distinct(), joined, False)
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checkpointed(confirmed(close, cells)))
     # rows of one id with different texts
     least = worded.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("doc_id", "a")
     links = links.unionByName(worded.join(least, "doc_id").where("d1 <> a").select("a", F.col("d1").alias("b")))

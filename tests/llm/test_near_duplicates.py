@@ -140,6 +140,80 @@ def test_list_of_several_groups_in_blocks(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()} == roots
 
 
+def test_rows_with_full_sets_grow_with_the_group(spark, monkeypatch):
+    """Near copies of one text, most not similar enough to each other, between chains that are: twice the copies bring at most about twice the rows, and all links."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CELL", 4)
+    kept, plain = [], minhash.checkpointed
+    monkeypatch.setattr(minhash, "checkpointed", lambda df: kept.append(plain(df)) or kept[-1])
+
+    def rows_of(n):
+        r = random.Random(n)
+        base = [f"w{i}" for i in range(200)]
+        texts = []
+        for k in range(n):
+            own = list(base)
+            for at in r.sample(range(200), 4):
+                own[at] = f"z{k}x{at}"
+            texts.append(" ".join(own))
+            if k % 5 == 0:
+                own[r.randrange(200)] = f"y{k}"
+                texts.append(" ".join(own))
+        sets = {i: plain_sets(t) for i, t in enumerate(texts)}
+        links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        kept.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, percent=85).collect()} == plain_components(sets, links)
+        met = [df for df in kept if {"token", "i", "j"} <= set(df.columns)]
+        return sum(df.where("cell >= 0" if "cell" in df.columns else "true").count() for df in met)
+
+    few, many = rows_of(60), rows_of(120)
+    assert many <= 3 * few + 60 and many < 20 * 144
+
+
+def test_chains_meet_in_cells(spark, monkeypatch):
+    """As links inside and across cells and blocks, with forests first."""
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr(minhash, "CELL", 2)
+    monkeypatch.setattr(minhash, "SALT_ROWS", 2)
+    r = random.Random(4)
+    texts = []
+    for k in range(4):
+        own = [f"s{i}" for i in range(120)] + [f"g{k}x{i}" for i in range(60)]
+        for step in range(14):
+            own = list(own)
+            for at in r.sample(range(120, 180), 3):
+                own[at] = f"n{k}x{step}x{at}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    sets = {i: plain_sets(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = plain_components(sets, links)
+    assert 1 < len(set(roots.values())) < 56
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs).collect()} == roots
+
+
+def test_parities_lose_no_alike_pair():
+    r = np.random.default_rng(6)
+    pool = r.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([pool[: n - n // 9], r.choice(pool, k), r.integers(0, 1 << 63, k).astype(np.uint64)])) for n in (1, 3, 60, 64, 70, 900, 1000, 1100) for k in (0, 1, 4, 12, n // 10)]
+    rows = pd.DataFrame({"n_shingles": [len(s) for s in sets], "parity": [minhash._parity(s) for s in sets]})
+    inter = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    union = rows.n_shingles.to_numpy()[:, None] + rows.n_shingles.to_numpy()[None, :] - inter
+    for percent in (80, 85, 100):
+        got = minhash._near_enough(rows, rows, np.ones_like(inter, dtype=bool), percent)
+        assert got[100 * inter >= percent * union].all()
+        assert not got[100 * inter < (percent - 20) * union].any()
+
+
+def test_forest_of_close_pairs():
+    close = np.ones((4, 4), bool)
+    assert minhash._spanning(close, np.array([1, 2, 3, 4]), np.array([5, 6, 7, 8])).sum() == 7
+    assert minhash._spanning(close, np.array([1, 1, 2, 2]), np.array([2, 2, 1, 1])).sum() == 1
+    assert not minhash._spanning(~close, np.array([1, 2, 3, 4]), np.array([5, 6, 7, 8])).any()
+
+
 def test_collisions_decide():
     tokens = np.arange(8)[None, :] + np.array([[0], [0], [100]])
     tokens[1, 5:] += 50
