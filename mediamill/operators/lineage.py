@@ -18,7 +18,7 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly to all cores before dear expressions: a file of short repeated values has few splits for its rows."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt evenly (or by keys) to all cores before dear expressions: a file of short repeated values has few splits for its rows."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

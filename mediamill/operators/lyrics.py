@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as x, names
+from .lineage import spread
 
 
 def parse_lrc(texts: DataFrame) -> DataFrame:
@@ -12,15 +13,18 @@ def parse_lrc(texts: DataFrame) -> DataFrame:
 
     A line's leading brackets are time stamps; another bracket before the first of them makes the
     line metadata, later ones are dropped. Voices carry on in the order of the text. A line ends
-    where the next begins, blank ones included; the last at the duration, or 5 s on. Windows see
-    one track at a time.
+    where the next begins, blank ones included; the last at the duration, or 5 s on. Whole texts are
+    dealt by track, once; lines are parsed where the windows see them, one track at a time.
     """
-    lines = texts.select("track_id", "duration_ms", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("line_no", "line"))
+    lines = spread(texts, "track_id").select("track_id", "duration_ms", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("line_no", "line"))
     head = r"^((?:\s*\[[^\]]*\])+)"
-    groups = F.regexp_extract_all(F.regexp_extract("line", head, 1), F.lit(r"\[([^\]]*)\]"), F.lit(1))
-    lines = lines.withColumn("groups", groups).where(x.stamp_ms(F.try_element_at("groups", F.lit(1))).isNotNull())
-    own = names.split_voice(F.trim(F.regexp_replace("line", head, "")))
-    lines = lines.select("track_id", "duration_ms", "line_no", own.alias("own"), F.filter(F.transform("groups", x.stamp_ms), lambda s: s.isNotNull()).alias("stamps"))
+    once = lambda value, of: F.transform(F.array(value), of)[0]
+    stamps = lambda h: F.transform(F.regexp_extract_all(h, F.lit(r"\[([^\]]*)\]"), F.lit(1)), x.stamp_ms)
+    own = lambda h: once(F.trim(F.substring("line", F.length(h) + 1, F.length("line"))), names.split_voice)
+    parsed = once(F.regexp_extract("line", head, 1), lambda h: F.struct(stamps(h).alias("stamps"), own(h).alias("own")))
+    stamped = F.filter(F.array(parsed), lambda p: F.try_element_at(p.stamps, F.lit(1)).isNotNull())
+    lines = lines.where(F.col("line").rlike(r"^\s*\[")).select("track_id", "duration_ms", "line_no", F.explode(stamped).alias("p"))
+    lines = lines.select("track_id", "duration_ms", "line_no", F.col("p.own").alias("own"), F.filter("p.stamps", lambda s: s.isNotNull()).alias("stamps"))
     so_far = Window.partitionBy("track_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("voice", F.last("own.voice", ignorenulls=True).over(so_far))
     rows = lines.select("track_id", "duration_ms", "line_no", "voice", F.col("own.rest").alias("text"), F.posexplode("stamps").alias("stamp_no", "start_ms"))
