@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import alignment, fallback, nested, search
+from ..operators.lineage import spread
 from ..streaming import presence
 from .registry import Tables, query
 from .series import millis, seconds
 
 
-def _in_sections(node: Column, depth: Column, most: int) -> Column:
+def _in_sections(node: Column, depth: Column) -> Column:
     """A JSON node within so many sections, each an object with a list."""
-    out, inner = F.when(depth == 0, node), node
-    for k in range(1, most + 1):
-        inner = F.concat(F.lit('{"about":{"n":1},"section":{"contents":[null,'), inner, F.lit("]}}"))
-        out = out.when(depth == k, inner)
-    return out
+    return F.concat(F.repeat(F.lit('{"about":{"n":1},"section":{"contents":[null,'), depth), node, F.repeat(F.lit("]}}"), depth))
 
 
 def video_pages(events: DataFrame) -> DataFrame:
     """(page, body): search responses of up to 200 events each, as nested JSON: live and coming videos, repeated addresses, videos inside videos, cut-off bodies."""
     e, i = F.col, F.col("event_id")
     text = lambda c: F.struct(c.alias("simpleText"))
-    title = F.struct(F.when(i % 2 == 0, F.concat_ws(" ", "event_type", i.cast("string"))).alias("simpleText"), F.when(i % 2 == 1, F.array(text(e("event_type")), text(F.concat(F.lit(" "), i.cast("string"))))).alias("runs"))
-    title = F.struct(title.simpleText.alias("simpleText"), F.transform(title.runs, lambda r: F.struct(r.simpleText.alias("text"))).alias("runs"))
+    runs = F.array(F.struct(e("event_type").alias("text")), F.struct(F.concat(F.lit(" "), i.cast("string")).alias("text")))
+    title = F.struct(F.when(i % 2 == 0, F.concat_ws(" ", "event_type", i.cast("string"))).alias("simpleText"), F.when(i % 2 == 1, runs).alias("runs"))
     name = F.concat(F.lit("user "), e("user_id").cast("string"))
     length = F.concat(F.floor(i % 3600 / 60).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"))
     video = F.struct(
@@ -38,8 +35,10 @@ def video_pages(events: DataFrame) -> DataFrame:
         F.when(e("event_type") == "signup", F.struct(F.lit("1").alias("startTime"))).alias("upcomingEventData"),
         F.when(i % 7 == 0, F.struct(F.struct(F.lit("inner").alias("videoId"), text(F.lit("inner")).alias("title")).alias("videoRenderer"))).alias("menu"),
     )
-    node = _in_sections(F.concat(F.lit('{"videoRenderer":'), F.to_json(video), F.lit("}")), i % 6, 5)
-    pages = events.groupBy(F.floor(i / 200).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", node.alias("node")))), lambda n: n.node), ",").alias("nodes"))
+    node = _in_sections(F.concat(F.lit('{"videoRenderer":'), F.to_json(video), F.lit("}")), (i % 6).cast("int"))
+    # nodes are made in rows dealt by page, above a generator: inside the aggregate they would be worked out expression by expression
+    made = spread(events.select(F.floor(i / 200).alias("page"), "event_id", "event_type", "user_id"), "page").select("page", F.inline(F.array(F.struct("event_id", node.alias("node")))))
+    pages = made.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "node"))), lambda n: n.node), ",").alias("nodes"))
     body = F.concat(F.lit('{"contents":{"primary":['), F.col("nodes"), F.lit("]}}"))
     return pages.select("page", F.when(F.col("page") % 10 == 9, F.substring(body, 1, 500)).otherwise(body).alias("body"))
 

@@ -65,6 +65,19 @@ def test_videos_come_once_and_none_live(spark):
     assert [tuple(r)[1:] for r in rows] == [(1, head + "y", "T", "Someone", 3_723_000, None), (2, head + "x", "later", "By", None, None), (3, head + "w", "T", None, None, "u")]
     assert nested.videos(spark.createDataFrame([(1, json.dumps(body))], "id int, body string"), "id", "body", 2).count() == 2
 
+def test_only_texts_are_read_as_texts(spark):
+    odd = {"ownerText": {"simpleText": 2.5}, "longBylineText": {"runs": [{"text": True}, None, {"text": "B"}]}, "lengthText": {"simpleText": 61}, "thumbnail": {"thumbnails": [{"url": 1e300}, {"url": "u"}]}}
+    calm = {"badges": [None, 3, {"metadataBadgeRenderer": {"style": 1}}, {"metadataBadgeRenderer": "BADGE_STYLE_TYPE_LIVE_NOW"}], "ownerText": "x"}
+    body = [video("a", title=7), video(True), video("b", **odd), video("c", **calm), video("d", upcomingEventData=None), {"videoRenderer": [video("e")]}, {"videoRenderer": None}, {"videoRenderer": "f"}]
+    rows = nested.videos(spark.createDataFrame([(1, json.dumps(body))], "id int, body string"), "id", "body").orderBy("ord").collect()
+    assert [(r.url[-1], r.title, r.channel, r.duration_ms, r.thumbnail) for r in rows] == [("b", "T", "B", None, None), ("c", "T", None, None, None)]
+
+
+def test_keys_of_any_signs_and_values_read_at_once(spark):
+    df = spark.createDataFrame([(1, json.dumps({"x": [{"it's": "7"}, {"a`b": 2}]}))], "id int, body string")
+    assert [r.v for r in nested.find_key(df, "id", "body", "it's", 2).select(F.to_json("value").alias("v")).collect()] == ['"7"']
+    assert [r.value for r in nested.find_key(df, "id", "body", "a`b", 2, lambda v: F.try_variant_get(v, "$", "int")).collect()] == [2]
+
 
 # ---- alignment
 

@@ -8,9 +8,9 @@ from types import SimpleNamespace
 import duckdb
 import pandas as pd
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
-from mediamill.plans import imports, registry, signals, text
+from mediamill.plans import imports, lookups, registry, signals, text
 
 
 def _same(got, sql, **tables):
@@ -49,3 +49,13 @@ def test_parts_of_one_file_are_dealt_to_all_cores(spark, name):
         _same(got.toPandas(), registry.ORACLES[name], part=part.toPandas())
     else:
         assert {(r.id, r.name, r.singer) for r in got.collect()} == {(i, n, None) for i, n, *_ in rows}
+
+
+def test_videos_of_one_file_are_dealt_to_all_cores(spark):
+    rows = [(i, i % 37, ["view", "click", "error", "signup", "purchase"][i * i % 5]) for i in range(2600)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1)
+    assert lookups.video_pages(events).rdd.getNumPartitions() == 4
+    got = lookups.q_nested_videos(SimpleNamespace(events=events))
+    assert got.rdd.getNumPartitions() == 4
+    shown = "coalesce(CAST(duration_ms AS STRING), '')"
+    _same(got.withColumn("duration_ms", F.expr(shown)).toPandas(), f"SELECT * REPLACE ({shown} AS duration_ms) FROM ({registry.ORACLES['q_nested_videos']})", events=events.toPandas())
